@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo, fertility, html, licences, mixing, packing
+from . import bagminhash, cuckoo, fertility, html, licences, mixing, packing
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokenizer_fertility, op2_block_rules, op3_splitting_tree, op5_rare_token_index, op6_cuckoo_index, op10_best_fit)
+    f.__name__: f for f in (op1_tokenizer_fertility, op2_block_rules, op3_splitting_tree, op4_bag_minhash, op5_rare_token_index, op6_cuckoo_index, op10_best_fit)
 }
 
 ORACLES: dict[str, str] = {
