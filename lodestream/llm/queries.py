@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cuckoo, fertility, html, licences, mixing, packing
+from . import bagminhash, cuckoo, fertility, html, licences, mixing, packing, suffixes
 from .common import table
 
 
@@ -34,12 +34,16 @@ def op6_cuckoo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokenizer_fertility, op2_block_rules, op3_splitting_tree, op4_bag_minhash, op5_rare_token_index, op6_cuckoo_index, op10_best_fit)
+    f.__name__: f for f in (op1_tokenizer_fertility, op2_block_rules, op3_splitting_tree, op4_bag_minhash, op5_rare_token_index, op6_cuckoo_index, op9_suffix_sort, op10_best_fit)
 }
 
 ORACLES: dict[str, str] = {
