@@ -80,17 +80,22 @@ class Prefix:
         return (self.sums[size:] - self.sums[:n]) * self.up[:n]
 
     def common(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-        """How far the suffixes at ``a`` and ``b`` agree, at most ``limit``, by binary search on hashes."""
+        """How far the suffixes at ``a`` and ``b`` agree, at most ``limit``: whole, or by binary search on hashes."""
+        out = np.full(len(a), limit)
+        apart = np.flatnonzero(self.hashes(a, limit) != self.hashes(b, limit))
+        a, b = a[apart], b[apart]
+        first_a, first_b = self.sums[a], self.sums[b]
+        up_a, up_b = self.up[a], self.up[b]
         low = np.zeros(len(a), np.int64)
         step = 1 << (limit.bit_length() - 1)
         while step:
             tried = low + step
-            ok = tried <= limit
             at = np.minimum(tried, limit)
-            ok &= self.hashes(a, at) == self.hashes(b, at)
+            ok = (tried < limit) & ((self.sums[a + at] - first_a) * up_a == (self.sums[b + at] - first_b) * up_b)
             low[ok] = tried[ok]
             step >>= 1
-        return low
+        out[apart] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray, limit: int, or_equal: np.ndarray) -> np.ndarray:
         far = self.common(a, b, limit)
@@ -146,42 +151,35 @@ def repeats(buffer: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: in
     a, b = starts[order[:-1]], starts[order[1:]]
     same = (group[order[:-1]] == group[order[1:]]) & (prefix.hashes(a, limit) == prefix.hashes(b, limit))
     at = np.flatnonzero(same)
-    for k in range(0, len(at), 200_000):
-        part = at[k : k + 200_000]
-        span = np.arange(limit)
-        true = (buffer[a[part][:, None] + span] == buffer[b[part][:, None] + span]).all(axis=1)
+    strings = np.lib.stride_tricks.sliding_window_view(buffer, limit) if len(at) else None
+    for k in range(0, len(at), 50_000):
+        part = at[k : k + 50_000]
+        true = (strings[a[part]] == strings[b[part]]).all(axis=1)
         same[part[~true]] = False
     out[order[1:][same]] = True
     return out
 
 
-def window_anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every string of ``length`` bytes its anchor: (hash of the least gram, where it starts), and all gram hashes."""
-    buffer = np.frombuffer(raw, np.uint8)
-    found = mix64(Prefix(buffer).grams(gram))
+def window_anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Of every string of ``length`` bytes the place of its anchor, the leftmost gram of least hash; and all gram hashes."""
+    found = mix64(Prefix(np.frombuffer(raw, np.uint8)).grams(gram))
     w, n = length - gram + 1, len(found)
-    padded = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
-    padded[:n] = found
-    rows = padded.reshape(-1, w)
+    # Half of the hash and the place in one number: their least is the leftmost least.
+    packed = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
+    packed[:n] = (found >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    rows = packed.reshape(-1, w)
     ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-    # The leftmost place of the least gram: the next place at or after the window's start that has this hash.
-    change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    place = np.empty(len(least), np.int64)
-    ends = np.concatenate((change[1:], [len(least)]))
-    for a, b in zip(change.tolist(), ends.tolist(), strict=True):
-        hits = np.flatnonzero(found[a : b + w - 1] == least[a]) + a
-        place[a:b] = hits[np.searchsorted(hits, np.arange(a, b))] if len(hits) > 1 else hits[0]
-    return least, place, found
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), found
 
 
 def anchor_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of strings with one anchor: (hash, place, first start, last start)."""
-    least, place, _ = window_anchors(raw)
+    place, found = window_anchors(raw)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:], [len(place)])) - 1
-    return least[first], place[first], first, last
+    return found[place[first]], place[first], first, last
 
 
 def _split(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -345,21 +343,56 @@ def _by_text(d: np.ndarray, t: np.ndarray, where: np.ndarray) -> list[tuple[int,
     return [(int(d[a]), int(t[a]), _spans(np.unique(where[a:b])).astype(np.int64).tobytes()) for a, b in zip(edges.tolist(), ends.tolist(), strict=True)]
 
 
+def _slices(sorted_groups: np.ndarray, weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of whole groups that weigh about ``most``."""
+    if not len(sorted_groups):
+        return
+    edges = np.flatnonzero(np.concatenate(([True], sorted_groups[1:] != sorted_groups[:-1])))
+    ends = np.concatenate((edges[1:], [len(sorted_groups)]))
+    total = np.cumsum(weights)
+    start, paid = 0, 0
+    for end in ends.tolist():
+        if total[end - 1] - paid >= most:
+            yield start, end
+            start, paid = end, int(total[end - 1])
+    if start < len(sorted_groups):
+        yield start, len(sorted_groups)
+
+
+#: Strings that a shard sorts at once, unless one anchor has more.
+SORTED_STRINGS = 150_000
+
+
 def _marks(key: tuple, table: pa.Table) -> pa.Table:
     """Of a shard's runs the strings that also start earlier, by text, as (first start, last start) pairs."""
     kept, done = table.filter(pc.invert(table["settled"])), table.filter(table["settled"])
     columns = [_joined(kept[c], kind) for c, kind in zip("gdtsno", _FORM, strict=True)]
-    buffer = _joined(kept["body"], np.uint8)
-    of, starts, where, group = _strings(columns)
-    d, t = columns[1][of], columns[2][of]
-    order = np.lexsort((where, t, d, group))
-    starts, where, group, d, t = (x[order] for x in (starts, where, group, d, t))
-    twin = np.zeros(len(t), bool)  # the same string of the same text, from rows equal in id and text
-    twin[1:] = (group[1:] == group[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (where[1:] == where[:-1])
-    starts, where, group, d, t = (x[~twin] for x in (starts, where, group, d, t))
-    hit = repeats(buffer, starts, group)
-    before = [_joined(done[c], kind) for c, kind in zip("dts", _FORM[1:4], strict=True)]
-    rows = _by_text(*(np.concatenate((x, y.astype(np.int64))) for x, y in zip((d[hit], t[hit], where[hit]), before, strict=True)))
+    body = b"".join(kept["body"].to_pylist())
+    sizes = columns[4].astype(np.int64) + LENGTH
+    base = np.cumsum(sizes) - sizes
+    by_group = np.argsort(columns[0], kind="stable")
+    found = [tuple(_joined(done[c], kind) for c, kind in zip("dts", _FORM[1:4], strict=True))]
+    for a, b in _slices(columns[0][by_group], columns[4][by_group].astype(np.int64) + 1, SORTED_STRINGS):
+        at = by_group[a:b]
+        part = [x[at] for x in columns]
+        buffer = np.frombuffer(b"".join([body[i : i + n] for i, n in zip(base[at].tolist(), sizes[at].tolist(), strict=True)]), np.uint8)
+        of, starts, where, group = _strings(part)
+        d, t = part[1][of], part[2][of]
+        order = np.lexsort((where, t, d, group))
+        group = group[order]
+        # A string alone in its group has no equal.
+        near = np.zeros(len(order), bool)
+        near[1:] = group[1:] == group[:-1]
+        near[:-1] |= near[1:]
+        order, group = order[near], group[near]
+        starts, where, d, t = (x[order] for x in (starts, where, d, t))
+        twin = np.zeros(len(t), bool)  # the same string of the same text, from rows equal in id and text
+        twin[1:] = (group[1:] == group[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (where[1:] == where[:-1])
+        if twin.any():
+            starts, where, group, d, t = (x[~twin] for x in (starts, where, group, d, t))
+        hit = repeats(buffer, starts, group)
+        found.append((d[hit], t[hit], where[hit].astype(np.uint32)))
+    rows = _by_text(*(np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3)))
     return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.int64(), pa.binary()), ["d", "t", "m"])])
 
 
