@@ -7,9 +7,10 @@ arrivals by register are a signature whose registers agree with the probability
 process ends once it is past the document's latest register, so that a document costs little more than a point for
 each shingle. All documents of a block advance together in numpy.
 
-Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: every
-node meets its bucket's least node; verified links are merged to components; buckets that still hold several
-components are compared within small buckets pair by pair, and large ones after splitting by a second band. Links are
+Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: in three
+rounds every node meets one node of its bucket, and verified links are merged to components. Buckets that still hold
+several components are compared pair by pair where they are small; in large ones, nodes outside the main component
+meet those that share a second band with them. Links are
 verified on the whole multisets, which are made again for candidate nodes only.
 
 Defined results: a text of fewer than five words is one shingle; a text without words (null, empty) has no link and is
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix64, texts
@@ -216,10 +217,17 @@ def _pairs_of_small(grouped: DataFrame) -> DataFrame:
     return both.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
-def _star(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of every node with the least node of its bucket."""
-    least = rows.groupBy(*key).agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return rows.join(least, key).where("node > v").select(F.col("node").alias("u"), "v").distinct()
+def _star(rows: DataFrame, key: list[str], by: Column) -> DataFrame:
+    """Pairs (u, v) of every node with the node of its bucket that is first ``by``, where their components differ."""
+    first = rows.groupBy(*key).agg(F.min_by(F.struct("node", "root"), by).alias("__f"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    met = rows.join(first, key).where((F.col("node") != F.col("__f.node")) & (F.col("root") != F.col("__f.root")))
+    return met.select(F.greatest("node", F.col("__f.node")).alias("u"), F.least("node", F.col("__f.node")).alias("v")).distinct()
+
+
+def _open(rooted: DataFrame, key: list[str]) -> DataFrame:
+    """Buckets that hold several components: their keys, sizes and the component with the most members."""
+    parts = rooted.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("__c"))
+    return parts.groupBy(*key).agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__roots"), F.max_by("root", F.struct("__c", "root")).alias("__main")).where("__roots > 1")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -231,28 +239,42 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     buckets = checkpointed(banded.join(shared, "key"))
     candidates = buckets.select(F.col("node").alias("__node")).distinct().join(nodes.select("__node", "__id"), "__node")
     bags = checkpointed(bags_of(docs, candidates, doc_id, text))
-    tried = checkpointed(_star(buckets, ["key"]))
-    links = checkpointed(verified(tried, bags, similarity))
-    roots = components(links)
-    # Buckets that still hold several components.
-    rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__n > 2 AND __lo <> __hi")
-    small_keys, large_keys = open_.where(F.col("__n") <= SMALL_BUCKET).select("key"), open_.where(F.col("__n") > SMALL_BUCKET).select("key")
-    member = F.struct("node", "root")
-    more = _pairs_of_small(rooted.join(small_keys, "key").groupBy("key").agg(F.collect_list(member).alias("__m")))
-    large = checkpointed(rooted.join(large_keys, "key"))
-    if not large.isEmpty():
-        second = large.join(banded.select("node", F.col("key").alias("key2")), "node").where("key <> key2")
-        pair_key = [F.least("key", "key2").alias("k1"), F.greatest("key", "key2").alias("k2")]
-        both_keys = second.select("node", "root", *pair_key).distinct()
-        sizes = both_keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("__n"), F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__n > 1 AND __lo <> __hi")
-        few = both_keys.join(sizes.where(F.col("__n") <= SMALL_BUCKET).select("k1", "k2"), ["k1", "k2"])
-        many = both_keys.join(sizes.where(F.col("__n") > SMALL_BUCKET).select("k1", "k2"), ["k1", "k2"])
-        more = more.unionAll(_pairs_of_small(few.groupBy("k1", "k2").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["k1", "k2"]))
-    further = checkpointed(more.distinct().join(tried, ["u", "v"], "left_anti"))
-    if not further.isEmpty():
-        links = checkpointed(links.unionAll(verified(further, bags, similarity)))
+    rooted = buckets.select("key", "node", F.col("node").alias("root"))
+    tried, links, roots = None, None, None
+
+    def settle(pairs: DataFrame) -> bool:
+        """Verify new pairs and merge components; whether there were any pairs."""
+        nonlocal tried, links, roots, rooted
+        new = checkpointed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        if tried is not None and new.isEmpty():
+            return False
+        found = checkpointed(verified(new, bags, similarity))
+        tried, links = new if tried is None else tried.unionAll(new), found if links is None else links.unionAll(found)
         roots = components(links)
+        rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        return True
+
+    # Every node meets the first of its bucket, by orders that differ from round to round.
+    for by in (F.col("node"), F.md5("node"), F.sha1("node")):
+        still = rooted if tried is None else rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
+        if not settle(_star(still, ["key"], by)):
+            break
+    open_ = checkpointed(_open(rooted, ["key"]).where("__n > 2"))
+    if not open_.isEmpty():
+        small = rooted.join(open_.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
+        large = rooted.join(open_.where(F.col("__n") > SMALL_BUCKET).select("key", "__main"), "key")
+        member = F.struct("node", "root")
+        more = _pairs_of_small(small.groupBy("key").agg(F.collect_list(member).alias("__m")))
+        # In a large bucket, what isn't of its main component meets those that share a second band with it.
+        other = banded.select("node", F.col("key").alias("key2"))
+        odd = large.where(F.col("root") != F.col("__main")).join(other, "node").where("key <> key2").select("key", "key2").distinct()
+        shared_twice = large.join(other, "node").join(odd, ["key", "key2"], "left_semi").select("node", "root", F.least("key", "key2").alias("k1"), F.greatest("key", "key2").alias("k2")).distinct()
+        shared_twice = checkpointed(shared_twice)
+        second = _open(shared_twice, ["k1", "k2"])
+        few = shared_twice.join(second.where(F.col("__n") <= SMALL_BUCKET).select("k1", "k2"), ["k1", "k2"])
+        many = shared_twice.join(second.where(F.col("__n") > SMALL_BUCKET).select("k1", "k2"), ["k1", "k2"])
+        more = more.unionAll(_pairs_of_small(few.groupBy("k1", "k2").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["k1", "k2"], F.col("node")))
+        settle(more.distinct())
     ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select(F.col("__node").alias("node"), "__id", "__n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("__id").alias("class_id"), F.sum("__n").alias("class_size"))
