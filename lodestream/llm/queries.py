@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cuckoo, fertility, html, licences, mixing, packing, suffixes, weaklabels
+from . import bagminhash, cuckoo, fertility, html, licences, mixing, packing, passages, suffixes, weaklabels
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_cuckoo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weaklabels.classified(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokenizer_fertility, op2_block_rules, op3_splitting_tree, op4_bag_minhash, op5_rare_token_index, op6_cuckoo_index, op8_weak_labels, op9_suffix_sort, op10_best_fit)
+    f.__name__: f for f in (op1_tokenizer_fertility, op2_block_rules, op3_splitting_tree, op4_bag_minhash, op5_rare_token_index, op6_cuckoo_index, op7_compact_windows, op8_weak_labels, op9_suffix_sort, op10_best_fit)
 }
 
 ORACLES: dict[str, str] = {
