@@ -254,10 +254,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
         return True
 
-    # Every node meets the first of its bucket, by orders that differ from round to round.
-    for by in (F.col("node"), F.md5("node"), F.sha1("node")):
-        still = rooted if tried is None else rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
-        if not settle(_star(still, ["key"], by)):
+    # Every node meets the first of each of its buckets; then twice one node more, by other orders.
+    settle(_star(rooted, ["key"], F.col("node")))
+    for by in (F.md5("node"), F.sha1("node")):
+        still = rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
+        met = _star(still, ["key"], by)
+        if not settle(met.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))):
             break
     open_ = checkpointed(_open(rooted, ["key"]).where("__n > 2"))
     if not open_.isEmpty():
