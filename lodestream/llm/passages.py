@@ -7,7 +7,7 @@ under most hash functions.
 
 1. Windows of two functions tell texts that share any; 2. these texts give their windows around shared tokens under
 all eight functions; every window meets the first text's window of its token, aligned there, and intervals that overlap
-by a passage's length count; 3. pairs of texts that agree under four functions or more are verified: stretches of 46
+by a passage's length count; 3. pairs of texts that agree under three functions or more are verified: stretches of 46
 tokens of which enough stand together in the other text for a similarity of 0.8; 4. verified links give classes.
 
 Tables are slim rows by token, aggregated before they meet; a token of very many texts is a skewed join key, which
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import shingles
-from .common import checkpointed, mix64, texts
+from .common import checkpointed, mix64, texts, written
 from .components import components
 from .suffixes import _batch, _chosen, _repeated, _split
 
 TOKENS = 46
 SIMILARITY = 0.8
-FUNCTIONS, FIRST_FUNCTIONS, AGREE = 8, 2, 4
+FUNCTIONS, FIRST_FUNCTIONS, AGREE = 6, 2, 3
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 16_000_000
 NULL_ID = -(2**63)
@@ -53,10 +53,9 @@ def compact_windows(hashes: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray
     n = len(hashes)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    rank = np.empty(n, np.uint64)
-    rank[np.argsort(hashes, kind="stable")] = np.arange(n, dtype=np.uint64)
+    # Half of the hash and the place in one number: the least is the leftmost of equals.
     packed = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
-    packed[:n] = rank << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    packed[:n] = hashes >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
     rows = packed.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
@@ -64,7 +63,7 @@ def compact_windows(hashes: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray
     edge = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     stop = np.concatenate((edge[1:], [len(least)])) - 1
     at, first, last = least[edge], edge.copy(), stop + width - 1
-    value = rank[at].astype(np.int64).tolist()
+    value = packed[at].tolist()
     place = at.tolist()
     smaller_before, smaller_after = [-1] * len(at), [n] * len(at)
     stack: list[int] = []
@@ -121,8 +120,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in range(FIRST_FUNCTIONS):
                 first, at, last = windows[f]
                 hit = np.isin(at, marked[marked % FIRST_FUNCTIONS == f] // FIRST_FUNCTIONS)
-                np.add.at(cover, first[hit], 1)
-                np.add.at(cover, last[hit] + 1, -1)
+                # A shared stretch of TOKENS tokens lies this near its least token.
+                np.add.at(cover, np.maximum(first[hit], at[hit] - TOKENS + 1), 1)
+                np.add.at(cover, np.minimum(last[hit], at[hit] + TOKENS - 1) + 1, -1)
             inside = np.cumsum(cover)[:-1] > 0
             for f, (first, at, last) in enumerate(windows):
                 hit = inside[at]
@@ -198,7 +198,7 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     blobs = keyed.mapInArrow(lambda batches: _first_windows(batches, n_shards), "shard long, h binary, t binary, p binary")
     marks = blobs.groupBy("shard").applyInArrow(_repeated, "t long, p binary").groupBy(F.col("t").alias("__t")).agg(F.collect_list("p").alias("blobs"))
     wanted = checkpointed(marks.join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t").select("__d", "__t", "blobs"))
-    windows = checkpointed(_chosen(docs, wanted, doc_id, text).mapInArrow(_windows, "h long, d long, t long, f int, a int, c int, b int"))
+    windows = written(_chosen(docs, wanted, doc_id, text).mapInArrow(_windows, "h long, d long, t long, f int, a int, c int, b int"))
     rep = windows.groupBy("h").agg(F.min(F.struct("d", "t", "c", "a", "b")).alias("r"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
     met = windows.join(rep, "h").where("t <> r.t")
     # Aligned at the least token, the windows have to share a passage's length.
