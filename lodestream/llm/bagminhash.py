@@ -9,9 +9,9 @@ each shingle. All documents of a block advance together in numpy.
 
 Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: in three
 rounds every node meets one node of its bucket, and verified links are merged to components. Buckets that still hold
-several components are compared pair by pair where they are small; in large ones, nodes outside the main component
-meet those that share a second band with them. Links are
-verified on the whole multisets, which are made again for candidate nodes only.
+several components are compared pair by pair where they are small; nodes of large ones get a second signature with
+longer bands, which tells apart what only resembles, and meet in its buckets. Links are verified on the whole multisets,
+which are made again for candidate nodes only.
 
 Defined results: a text of fewer than five words is one shingle; a text without words (null, empty) has no link and is
 its own class; a class is named by its least doc_id; repeated rows are in one class.
@@ -34,6 +34,9 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 24
+#: Bands of the second signature: a pair at similarity 0.8 shares none with a chance of 8e-5.
+FINE_ROWS, FINE_BANDS = 7, 40
+FINE_BLOCK = 500_000
 SMALL_BUCKET = 32
 #: Positions of the bitmap that tells candidate rows apart before they are shuffled: 2 MB, whatever the input.
 BITS = 1 << 24
@@ -210,6 +213,22 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= F.lit(similarity) * (F.size("__a") + F.size("__b") - common)).select("u", "v")
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, score, root, keys) with the keys of the longer bands, from (node, score, root, bag)."""
+    for batch in batches:
+        ends = batch.column(3).offsets.to_numpy()
+        elements = batch.column(3).values.to_numpy(zero_copy_only=False).view(np.uint64)
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + FINE_BLOCK, side="right")) - 1)
+            mine = mix64(elements[ends[start] : ends[stop]] ^ _GOLD)
+            owner = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
+            keys = band_keys(signatures(mine, np.ones(len(mine), np.int64), owner, stop - start, FINE_ROWS * FINE_BANDS), FINE_ROWS)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, stop - start) for k in range(3)), lists], names=["node", "score", "root", "keys"])
+            start = stop
+
+
 def _pairs_of_small(grouped: DataFrame) -> DataFrame:
     """All pairs of different components within groups of at most SMALL_BUCKET members (column __m: structs node, root)."""
     left = grouped.select(F.explode("__m").alias("a"), "__m")
@@ -225,21 +244,25 @@ def _star(rows: DataFrame, key: list[str], by: Column) -> DataFrame:
 
 
 def _open(rooted: DataFrame, key: list[str]) -> DataFrame:
-    """Buckets that hold several components: their keys, sizes and the component with the most members."""
+    """Buckets that hold several components: their keys and sizes."""
     parts = rooted.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("__c"))
-    return parts.groupBy(*key).agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__roots"), F.max_by("root", F.struct("__c", "root")).alias("__main")).where("__roots > 1")
+    return parts.groupBy(*key).agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the class's least doc_id), n_links (verified links of its text to other texts), class_size."""
+    central_first = F.struct(-F.col("score"), F.col("node"))
     rows = checkpointed(signed(docs, doc_id, text))
     nodes = checkpointed(rows.where("__node IS NOT NULL").groupBy("__node").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("__n"), F.first("__keys").alias("__keys")))
     banded = nodes.select(F.col("__node").alias("node"), F.explode("__keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key")
-    buckets = checkpointed(banded.join(shared, "key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    met = banded.join(shared, "key")
+    # How many it meets in all its buckets: most for the text that copies of one group descend from.
+    central = met.groupBy("node").agg(F.sum("__n").alias("score"))
+    buckets = checkpointed(met.drop("__n").join(central, "node"))
     candidates = buckets.select(F.col("node").alias("__node")).distinct().join(nodes.select("__node", "__id"), "__node")
     bags = checkpointed(bags_of(docs, candidates, doc_id, text))
-    rooted = buckets.select("key", "node", F.col("node").alias("root"))
+    rooted = buckets.select("key", "node", "score", F.col("node").alias("root"))
     tried, links, roots = None, None, None
 
     def settle(pairs: DataFrame) -> bool:
@@ -251,11 +274,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         found = checkpointed(verified(new, bags, similarity))
         tried, links = new if tried is None else tried.unionAll(new), found if links is None else links.unionAll(found)
         roots = components(links)
-        rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
         return True
 
-    # Every node meets the first of each of its buckets; then twice one node more, by other orders.
-    settle(_star(rooted, ["key"], F.col("node")))
+    # Every node meets the most central one of each of its buckets; then twice one node more, by other orders.
+    settle(_star(rooted, ["key"], central_first))
     for by in (F.md5("node"), F.sha1("node")):
         still = rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
         met = _star(still, ["key"], by)
@@ -264,18 +287,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     open_ = checkpointed(_open(rooted, ["key"]).where("__n > 2"))
     if not open_.isEmpty():
         small = rooted.join(open_.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
-        large = rooted.join(open_.where(F.col("__n") > SMALL_BUCKET).select("key", "__main"), "key")
+        large = rooted.join(open_.where(F.col("__n") > SMALL_BUCKET).select("key"), "key").select("node", "score", "root").distinct()
         member = F.struct("node", "root")
         more = _pairs_of_small(small.groupBy("key").agg(F.collect_list(member).alias("__m")))
-        # In a large bucket, what isn't of its main component meets those that share a second band with it.
-        other = banded.select("node", F.col("key").alias("key2"))
-        odd = large.where(F.col("root") != F.col("__main")).join(other, "node").where("key <> key2").select("key", "key2").distinct()
-        shared_twice = large.join(other, "node").join(odd, ["key", "key2"], "left_semi").select("node", "root", F.least("key", "key2").alias("k1"), F.greatest("key", "key2").alias("k2")).distinct()
-        shared_twice = checkpointed(shared_twice)
-        second = _open(shared_twice, ["k1", "k2"])
-        few = shared_twice.join(second.where(F.col("__n") <= SMALL_BUCKET).select("k1", "k2"), ["k1", "k2"])
-        many = shared_twice.join(second.where(F.col("__n") > SMALL_BUCKET).select("k1", "k2"), ["k1", "k2"])
-        more = more.unionAll(_pairs_of_small(few.groupBy("k1", "k2").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["k1", "k2"], F.col("node")))
+        # What shares a large bucket meets again in the buckets of longer bands: so many rows for each node, whatever its buckets hold.
+        signed_again = checkpointed(large.join(bags, "node").select("node", "score", "root", "bag").mapInArrow(_finer, "node binary, score long, root binary, keys array<long>"))
+        finer = signed_again.select("node", "score", "root", F.explode("keys").alias("key"))
+        second = checkpointed(_open(finer, ["key"]))
+        few = finer.join(second.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
+        many = finer.join(second.where(F.col("__n") > SMALL_BUCKET).select("key"), "key")
+        more = more.unionAll(_pairs_of_small(few.groupBy("key").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["key"], central_first))
         settle(more.distinct())
     ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select(F.col("__node").alias("node"), "__id", "__n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
