@@ -7,7 +7,7 @@ arrivals by register are a signature whose registers agree with the probability
 process ends once it is past the document's latest register, so that a document costs little more than a point for
 each shingle. All documents of a block advance together in numpy.
 
-Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: in three
+Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: in two
 rounds every node meets one node of its bucket, and verified links are merged to components. Buckets that still hold
 several components are compared pair by pair where they are small; nodes of large ones get a second signature with
 longer bands, which tells apart what only resembles, and meet in its buckets. Links are verified on the whole multisets,
@@ -265,25 +265,22 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     rooted = buckets.select("key", "node", "score", F.col("node").alias("root"))
     tried, links, roots = None, None, None
 
-    def settle(pairs: DataFrame) -> bool:
-        """Verify new pairs and merge components; whether there were any pairs."""
+    def settle(pairs: DataFrame, last: bool = False) -> None:
+        """Verify new pairs and merge components."""
         nonlocal tried, links, roots, rooted
         new = checkpointed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         if tried is not None and new.isEmpty():
-            return False
+            return
         found = checkpointed(verified(new, bags, similarity))
         tried, links = new if tried is None else tried.unionAll(new), found if links is None else links.unionAll(found)
         roots = components(links)
-        rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
-        return True
+        if not last:
+            rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
 
-    # Every node meets the most central one of each of its buckets; then twice one node more, by other orders.
+    # Every node meets the most central one of each of its buckets; then one node more, by another order.
     settle(_star(rooted, ["key"], central_first))
-    for by in (F.md5("node"), F.sha1("node")):
-        still = rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
-        met = _star(still, ["key"], by)
-        if not settle(met.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))):
-            break
+    still = rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
+    settle(_star(still, ["key"], F.md5("node")).groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v")))
     open_ = checkpointed(_open(rooted, ["key"]).where("__n > 2"))
     if not open_.isEmpty():
         small = rooted.join(open_.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
@@ -296,8 +293,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         second = checkpointed(_open(finer, ["key"]))
         few = finer.join(second.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
         many = finer.join(second.where(F.col("__n") > SMALL_BUCKET).select("key"), "key")
-        more = more.unionAll(_pairs_of_small(few.groupBy("key").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["key"], central_first))
-        settle(more.distinct())
+        more = more.unionAll(_pairs_of_small(few.groupBy("key").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["key"], central_first)).unionAll(_star(many, ["key"], F.sha1("node")))
+        settle(more.distinct(), last=True)
     ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select(F.col("__node").alias("node"), "__id", "__n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("__id").alias("class_id"), F.sum("__n").alias("class_size"))

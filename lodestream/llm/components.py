@@ -1,4 +1,8 @@
-"""Connected components by alternating star operations on an edge table."""
+"""Connected components by alternating star operations on an edge table.
+
+What a star operation returns is dealt by the greater node, which has few rows there, so that the next one needs no
+shuffle to group and join by it.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's greater neighbours get the least of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").repartition("u").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours get the least of these."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     joined = edges.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").repartition("u").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
