@@ -263,18 +263,20 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     candidates = buckets.select(F.col("node").alias("__node")).distinct().join(nodes.select("__node", "__id"), "__node")
     bags = checkpointed(bags_of(docs, candidates, doc_id, text))
     rooted = buckets.select("key", "node", "score", F.col("node").alias("root"))
-    tried, links, roots = None, None, None
+    tried, links, edges = None, None, None
 
     def settle(pairs: DataFrame, last: bool = False) -> None:
-        """Verify new pairs and merge components."""
-        nonlocal tried, links, roots, rooted
+        """Verify new pairs; unless it is the last time, merge most of the components: a node left out only meets more nodes."""
+        nonlocal tried, links, edges, rooted
         new = checkpointed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         if tried is not None and new.isEmpty():
             return
         found = checkpointed(verified(new, bags, similarity))
         tried, links = new if tried is None else tried.unionAll(new), found if links is None else links.unionAll(found)
-        roots = components(links)
+        edges = found if edges is None else edges.unionAll(found)
         if not last:
+            edges = components(edges, 2).select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
             rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
 
     # Every node meets the most central one of each of its buckets; then one node more, by another order.
@@ -295,6 +297,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         many = finer.join(second.where(F.col("__n") > SMALL_BUCKET).select("key"), "key")
         more = more.unionAll(_pairs_of_small(few.groupBy("key").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["key"], central_first)).unionAll(_star(many, ["key"], F.sha1("node")))
         settle(more.distinct(), last=True)
+    roots = components(edges)
     ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select(F.col("__node").alias("node"), "__id", "__n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("__id").alias("class_id"), F.sum("__n").alias("class_size"))

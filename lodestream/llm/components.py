@@ -26,17 +26,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").repartition("u").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v) but the roots themselves; a root is its component's least node.
 
+    After a given number of ``rounds``, a node may have several roots, and a root one of its own: edges that connect the same nodes.
     Each round is written to the shared checkpoint folder; rounds grow with the logarithm of the longest path.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = checkpointed(now)
     before = None
-    while True:
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         before = state
         now = checkpointed(_small_star(_large_star(now)))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
