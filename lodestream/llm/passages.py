@@ -8,10 +8,12 @@ under most hash functions.
 1. Windows of two functions tell texts that share any; 2. these texts give their windows around shared tokens under
 all eight functions; every window meets the first text's window of its token, aligned there, and intervals that overlap
 by a passage's length count; 3. pairs of texts that agree under three functions or more are verified: stretches of 46
-tokens of which enough stand together in the other text for a similarity of 0.8; 4. verified links give classes.
+tokens of which enough stand together in the other text for a similarity of 0.8; 4. verified links give classes; 5. all
+windows of a token meet, but those of two texts of one class where verified spans cover the later window already, and
+steps 3 and 4 run again. What is left out in 5 adds no class and no span: every window that leads a stretch holds it.
 
 Tables are slim rows by token, aggregated before they meet; a token of very many texts is a skewed join key, which
-adaptive execution splits, and gives one pair for each text, not for each two.
+adaptive execution splits. A token that stands in many texts of different classes gives a pair for each two of them.
 
 Defined results: texts of fewer than 50 words (null, empty) have no passage and are classes of their own; equal texts
 are one node; a class is named by its least doc_id; repeated rows report the same.
@@ -144,6 +146,8 @@ def passages_of(mine: np.ndarray, other: np.ndarray, width: int = TOKENS, simila
     at = np.full(len(mine), -1)
     at[there] = order[place[there]]
     need = int(np.ceil(2 * similarity * width / (1 + similarity) - 1e-9))
+    repeats = len(np.unique(other)) < len(other)
+    ends = np.searchsorted(other[order], mine, side="right")
     count = np.concatenate(([0], np.cumsum(there)))
     starts = np.flatnonzero(count[width:] - count[:-width] >= need)
     out: list[list[int]] = []
@@ -151,10 +155,15 @@ def passages_of(mine: np.ndarray, other: np.ndarray, width: int = TOKENS, simila
         spots = at[s : s + width]
         spots = spots[spots >= 0]
         middle = int(np.median(spots - np.flatnonzero(at[s : s + width] >= 0)))
-        a, b = max(0, middle), min(len(other), middle + width)
-        stretch, twin = set(mine[s : s + width].tolist()), set(other[a:b].tolist())
-        common = len(stretch & twin)
-        if common < similarity * (len(stretch) + len(twin) - common):
+        stretch = set(mine[s : s + width].tolist())
+
+        def resembles(middle: int) -> bool:
+            twin = set(other[max(0, middle) : max(0, min(len(other), middle + width))].tolist())
+            common = len(stretch & twin)
+            return common >= similarity * (len(stretch) + len(twin) - common)
+
+        # Where tokens stand in several places there, the middle of the first ones may miss the twin.
+        if not resembles(middle) and not (repeats and any(map(resembles, {x - k for k in range(width) for x in order[place[s + k] : ends[s + k]].tolist()}))):
             continue
         if out and s <= out[-1][1]:
             out[-1][1] = s + width
@@ -187,20 +196,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, (pa.int64(), pa.int64(), pa.list_(pa.string())), ["v", "u", "spans"])
 
 
-def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, class_size, n_links, and spans (word ranges, ends excluded, that an earlier text resembles)."""
-    column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    slim = checkpointed(docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(column).alias("t"), F.octet_length(column).cast("long").alias("n")))
-    firsts = checkpointed(slim.groupBy("t").agg(F.min("d").alias("d"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    n_shards = max(8, -(-total // SHARD_BYTES))
-    keyed = docs.select(F.xxhash64(column).alias("t"), column.alias("text"))
-    blobs = keyed.mapInArrow(lambda batches: _first_windows(batches, n_shards), "shard long, h binary, t binary, p binary")
-    marks = blobs.groupBy("shard").applyInArrow(_repeated, "t long, p binary").groupBy(F.col("t").alias("__t")).agg(F.collect_list("p").alias("blobs"))
-    wanted = checkpointed(marks.join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t").select("__d", "__t", "blobs"))
-    windows = written(_chosen(docs, wanted, doc_id, text).mapInArrow(_windows, "h long, d long, t long, f int, a int, c int, b int"))
-    rep = windows.groupBy("h").agg(F.min(F.struct("d", "t", "c", "a", "b")).alias("r"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    met = windows.join(rep, "h").where("t <> r.t")
+def _links(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(v, u, spans) of the verified pairs of texts among windows (d, t, f, a, c, b) and the earlier ones they meet (r)."""
     # Aligned at the least token, the windows have to share a passage's length.
     left, right = F.least(F.col("c") - F.col("a"), F.col("r.c") - F.col("r.a")), F.least(F.col("b") - F.col("c"), F.col("r.b") - F.col("r.c"))
     near = met.where(left + right + 1 >= TOKENS).groupBy(F.col("r.d").alias("rd"), F.col("r.t").alias("rt"), "d", "t")
@@ -215,7 +212,36 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     sliced = pairs.join(rep_texts, "rt").mapInArrow(_slices, "rt long, d long, t long, a int, b int, slice binary")
     mine = pairs.select(F.col("d").alias("__d"), F.col("t").alias("__t")).distinct().withColumn("blobs", F.lit(None).cast("string"))
     my_texts = _chosen(docs, mine, doc_id, text).dropDuplicates(["__d", "__t"]).select(F.col("__t").alias("t"), F.col("__text").alias("text"))
-    links = checkpointed(sliced.join(my_texts, "t").mapInArrow(_verified, "v long, u long, spans array<string>"))
+    return checkpointed(sliced.join(my_texts, "t").mapInArrow(_verified, "v long, u long, spans array<string>"))
+
+
+def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, class_size, n_links, and spans (word ranges, ends excluded, that an earlier text resembles)."""
+    column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    slim = checkpointed(docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(column).alias("t"), F.octet_length(column).cast("long").alias("n")))
+    firsts = checkpointed(slim.groupBy("t").agg(F.min("d").alias("d"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    n_shards = max(8, -(-total // SHARD_BYTES))
+    keyed = docs.select(F.xxhash64(column).alias("t"), column.alias("text"))
+    blobs = keyed.mapInArrow(lambda batches: _first_windows(batches, n_shards), "shard long, h binary, t binary, p binary")
+    marks = blobs.groupBy("shard").applyInArrow(_repeated, "t long, p binary").groupBy(F.col("t").alias("__t")).agg(F.collect_list("p").alias("blobs"))
+    wanted = checkpointed(marks.join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t").select("__d", "__t", "blobs"))
+    windows = written(_chosen(docs, wanted, doc_id, text).mapInArrow(_windows, "h long, d long, t long, f int, a int, c int, b int"))
+    shared = windows.groupBy("h").agg(F.min(F.struct("d", "t", "c", "a", "b")).alias("r"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    links = _links(docs, windows.join(shared, "h").where("t <> r.t"), doc_id, text)
+    # What the first text leaves open: windows of texts in different classes, and windows that no verified span covers.
+    roots = components(links.select("u", "v"))
+    covered = links.select(F.col("u").alias("t"), F.explode("spans").alias("s")).select("t", F.split("s", "-").alias("s")).groupBy("t").agg(F.collect_set(F.struct(F.col("s")[0].cast("int").alias("x"), (F.col("s")[1].cast("int") - 4).alias("y"))).alias("covered"))
+    reach = F.greatest(F.col("a"), F.col("c") - TOKENS + 1), F.least(F.col("b"), F.col("c") + TOKENS - 1)
+    done = F.coalesce(F.exists("covered", lambda s: (s["x"] <= reach[0]) & (reach[1] < s["y"])), F.lit(False))
+    known = windows.join(shared.select("h"), "h").join(roots.withColumnRenamed("node", "t"), "t", "left").join(covered, "t", "left")
+    state = written(known.select("h", "d", "t", "f", "a", "c", "b", F.coalesce("root", "t").alias("root"), done.alias("done")))
+    groups = state.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("d", "t")).alias("e"), F.max(F.when(~F.col("done"), F.struct("d", "t"))).alias("l"))
+    rest = state.join(groups.where("lo <> hi OR l > e").select("h"), "h")
+    earlier = rest.select("h", F.struct("d", "t", "c", "a", "b").alias("r"), F.col("root").alias("rroot"))
+    open_ = (F.col("t") != F.col("r.t")) & (F.struct("r.d", "r.t") < F.struct("d", "t")) & ((F.col("root") != F.col("rroot")) | ~F.col("done"))
+    more = _links(docs, rest.join(earlier, "h").where(open_), doc_id, text)
+    links = checkpointed(links.unionAll(more).groupBy("v", "u").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     roots = components(links.select("u", "v"))
     ends = links.select(F.col("u").alias("t")).unionAll(links.select(F.col("v").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n_links"))
     spans = links.groupBy(F.col("u").alias("t")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))

@@ -221,6 +221,42 @@ def test_passages(docs):
         assert len({classes[i] for i in ids}) == 1
 
 
+def test_passages_of_later_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda k: [word() for _ in range(k)]
+
+    def leads(words, f):
+        """The tokens that lead a window, with its end."""
+        tokens = passages.shingles(" ".join(words).encode())
+        _, at, last = passages.compact_windows(passages.token_hashes(tokens, f))
+        return {int(tokens[k]): (int(k), int(b)) for k, b in zip(at, last)}
+
+    def elsewhere(passage, *texts):
+        """A text in which the passage's tokens that lead windows of all ``texts`` lead windows too, in other surroundings."""
+        tokens = passages.shingles(" ".join(passage).encode()).tolist()
+        first = next(c for c, token in enumerate(tokens) if all(token in leads(t, 0) for t in texts))
+        out = []
+        for f in range(8):
+            for c, token in enumerate(tokens):
+                while all(token in leads(t, f) for t in texts):
+                    # A token of a first function beside it lets its window be looked at.
+                    words = prose(60) + passage[first : first + 5] + prose(3) + passage[c : c + 5] + prose(60)
+                    if token in leads(words, f) and leads(words, 0).get(tokens[first], (60, 0)) >= (60, 68):
+                        out += words
+                        break
+        return out
+
+    p, q = prose(50), prose(50)
+    v, w, x = prose(20) + p + prose(20), prose(30) + p + prose(30), prose(20) + q + prose(20)
+    rows = [elsewhere(p, v, w), v, w, elsewhere(q, x) + q, x]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.near_passages(docs).collect()}
+    assert [got[k]["class_id"] for k in range(5)] == [0, 1, 1, 3, 3]
+    spans = {k: [tuple(map(int, x.split("-"))) for x in got[k]["spans"].split(",") if x] for k in got}
+    assert any(a <= 30 and b >= 80 for a, b in spans[2]) and any(a <= 20 and b >= 70 for a, b in spans[4])
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(60):
