@@ -5,8 +5,8 @@ stretches with the same least token form a compact window (first, least, last):
 token hashes, so a text of n tokens has about n / 23 of them. Passages that resemble each other share least tokens
 under most hash functions.
 
-1. Windows of two functions tell texts that share any; 2. these texts give their windows around shared tokens under
-all eight functions; every window meets the first text's window of its token, aligned there, and intervals that overlap
+1. Windows of four functions tell texts that share any; 2. these texts give their windows around shared tokens under
+all six functions; every window meets the first text's window of its token, aligned there, and intervals that overlap
 by a passage's length count; 3. pairs of texts that agree under three functions or more are verified: stretches of 46
 tokens of which enough stand together in the other text for a similarity of 0.8; 4. verified links give classes; 5. all
 windows of a token meet, but those of two texts of one class where verified spans cover the later window already, and
@@ -35,7 +35,7 @@ from .suffixes import _batch, _chosen, _repeated, _split
 
 TOKENS = 46
 SIMILARITY = 0.8
-FUNCTIONS, FIRST_FUNCTIONS, AGREE = 6, 2, 3
+FUNCTIONS, FIRST_FUNCTIONS, AGREE = 6, 4, 3
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 16_000_000
 NULL_ID = -(2**63)
