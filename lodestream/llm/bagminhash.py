@@ -10,8 +10,9 @@ each shingle. All documents of a block advance together in numpy.
 Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: in two
 rounds every node meets one node of its bucket, and verified links are merged to components. Buckets that still hold
 several components are compared pair by pair where they are small; nodes of large ones get a second signature with
-longer bands, which tells apart what only resembles, and meet in its buckets. Links are verified on the whole multisets,
-which are made again for candidate nodes only.
+longer bands, which tells apart what only resembles, and meet in its buckets: pivots, more in every round and in the last
+one all nodes, until no bucket holds two components that haven't been compared node by node. Links are verified on the
+whole multisets, which are made again for candidate nodes only.
 
 Defined results: a text of fewer than five words is one shingle; a text without words (null, empty) has no link and is
 its own class; a class is named by its least doc_id; repeated rows are in one class.
@@ -38,6 +39,8 @@ ROWS, BANDS = 4, 24
 FINE_ROWS, FINE_BANDS = 7, 40
 FINE_BLOCK = 500_000
 SMALL_BUCKET = 32
+#: Nodes that every node of a bucket of longer bands meets in the first round; eight times as many in each next one.
+PIVOTS = 8
 #: Positions of the bitmap that tells candidate rows apart before they are shuffled: 2 MB, whatever the input.
 BITS = 1 << 24
 BLOCK_BYTES = 4_000_000
@@ -243,6 +246,13 @@ def _star(rows: DataFrame, key: list[str], by: Column) -> DataFrame:
     return met.select(F.greatest("node", F.col("__f.node")).alias("u"), F.least("node", F.col("__f.node")).alias("v")).distinct()
 
 
+def _pivoted(rows: DataFrame, pivots: int) -> DataFrame:
+    """Pairs (u, v) of every node of a bucket (of __n nodes) with about so many of its nodes, all of them if it has no more, where their components differ."""
+    first = rows.where(F.pmod(F.xxhash64("node"), F.col("__n")) < pivots).select("key", F.struct("node", "root").alias("__f"))
+    met = rows.join(first, "key").where((F.col("node") != F.col("__f.node")) & (F.col("root") != F.col("__f.root")))
+    return met.select(F.greatest("node", F.col("__f.node")).alias("u"), F.least("node", F.col("__f.node")).alias("v")).distinct()
+
+
 def _open(rooted: DataFrame, key: list[str]) -> DataFrame:
     """Buckets that hold several components: their keys and sizes."""
     parts = rooted.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("__c"))
@@ -265,8 +275,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     rooted = buckets.select("key", "node", "score", F.col("node").alias("root"))
     tried, links, edges = None, None, None
 
-    def settle(pairs: DataFrame, last: bool = False) -> None:
-        """Verify new pairs; unless it is the last time, merge most of the components: a node left out only meets more nodes."""
+    def settle(pairs: DataFrame) -> None:
+        """Verify new pairs and merge most of the components: a node left out only meets more nodes."""
         nonlocal tried, links, edges, rooted
         new = checkpointed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         if tried is not None and new.isEmpty():
@@ -274,10 +284,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         found = checkpointed(verified(new, bags, similarity))
         tried, links = new if tried is None else tried.unionAll(new), found if links is None else links.unionAll(found)
         edges = found if edges is None else edges.unionAll(found)
-        if not last:
-            edges = components(edges, 2).select(F.col("node").alias("u"), F.col("root").alias("v"))
-            roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-            rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
+        edges = components(edges, 2).select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
 
     # Every node meets the most central one of each of its buckets; then one node more, by another order.
     settle(_star(rooted, ["key"], central_first))
@@ -291,12 +300,20 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         more = _pairs_of_small(small.groupBy("key").agg(F.collect_list(member).alias("__m")))
         # What shares a large bucket meets again in the buckets of longer bands: so many rows for each node, whatever its buckets hold.
         signed_again = checkpointed(large.join(bags, "node").select("node", "score", "root", "bag").mapInArrow(_finer, "node binary, score long, root binary, keys array<long>"))
-        finer = signed_again.select("node", "score", "root", F.explode("keys").alias("key"))
-        second = checkpointed(_open(finer, ["key"]))
-        few = finer.join(second.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
-        many = finer.join(second.where(F.col("__n") > SMALL_BUCKET).select("key"), "key")
-        more = more.unionAll(_pairs_of_small(few.groupBy("key").agg(F.collect_list(member).alias("__m")))).unionAll(_star(many, ["key"], central_first)).unionAll(_star(many, ["key"], F.sha1("node")))
-        settle(more.distinct(), last=True)
+        finer = signed_again.select("node", F.explode("keys").alias("key"))
+        settle(more)
+        # In every bucket more and more pivots meet all nodes of other components, until all its nodes have been pivots.
+        pivots = PIVOTS
+        while True:
+            now = finer.join(rooted.select("node", "root").distinct(), "node")
+            still = checkpointed(_open(now, ["key"]))
+            most = still.agg(F.max("__n")).first()[0] or 0
+            if not most:
+                break
+            settle(_pivoted(now.join(still.select("key", "__n"), "key"), pivots))
+            if pivots >= most:
+                break
+            pivots *= 8
     roots = components(edges)
     ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select(F.col("__node").alias("node"), "__id", "__n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

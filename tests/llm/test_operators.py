@@ -162,6 +162,38 @@ def test_near_groups(docs):
     assert bagminhash.deduplicated(docs).columns == docs.columns
 
 
+def test_near_groups_of_one_template(spark, monkeypatch):
+    # Buckets of more than four nodes go the way of large ones.
+    monkeypatch.setattr(bagminhash, "SMALL_BUCKET", 4)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    template = [word() for _ in range(300)]
+    copies = []
+    for _ in range(300):
+        words = template[:]
+        for k in rng.sample(range(0, 300, 2), 5):
+            words[k] = word()
+        copies.append(words)
+    grams = [{tuple(w[k : k + 5]) for k in range(296)} for w in copies]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j in range(i):
+            common = len(a & grams[j])
+            if common >= 0.8 * (len(a) + len(grams[j]) - common):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(copies)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_groups(docs).collect()}
+    assert 30 < len({find(k) for k in range(300)}) < 290
+    assert got == {k: find(k) for k in range(300)}
+
+
 def test_licences(docs):
     by_id = {r["doc_id"]: r for r in licences.scan(docs).collect()}
     lower = str.maketrans(licences.UPPER, licences.LOWER)
