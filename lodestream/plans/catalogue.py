@@ -303,19 +303,26 @@ def vec_order_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # graphs: customers buy parts, suppliers make them
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_custkey % 20 = 1")
+def trade(spark: SparkSession, sf_dir: str, customers: str = "o_custkey % 20 = 1", parts: str = "l_partkey % 20 = 1") -> DataFrame:
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where(customers)
     bought = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), (F.round(F.col("l_discount") * 100) + 1).alias("cost"), epoch_ms("l_shipdate").alias("t"))
-    made = li.where("l_partkey % 20 = 1").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.lit(2.0).alias("cost"), epoch_ms("l_shipdate").alias("t"))
+    made = li.where(parts).select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.lit(2.0).alias("cost"), epoch_ms("l_shipdate").alias("t"))
     return bought.unionByName(made)
 
 
+def all_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of all customers and parts."""
+    return trade(spark, sf_dir, "true", "true")
+
+
 _EDGES = """(SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, round(l_discount * 100) + 1 AS cost, (epoch_us(l_shipdate) // 1000) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 1
     UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 2.0, (epoch_us(l_shipdate) // 1000) FROM lineitem WHERE l_partkey % 20 = 1)"""
+_ALL_EDGES = """(SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, round(l_discount * 100) + 1 AS cost, (epoch_us(l_shipdate) // 1000) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 2.0, (epoch_us(l_shipdate) // 1000) FROM lineitem)"""
 
 
-def _reach(condition: str = "true") -> str:
-    return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_EDGES} WHERE {condition}), r AS (
+def _reach(condition: str = "true", edges: str = _EDGES) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {edges} WHERE {condition}), r AS (
         SELECT 'c1' AS node, 0 AS hop UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON r.node = e.src WHERE r.hop < 3),
         f AS (SELECT node AS node_id, min(hop) AS hop FROM r GROUP BY node)
         SELECT f.node_id, (SELECT min(e.src) FROM e JOIN f g ON g.node_id = e.src WHERE e.dst = f.node_id AND g.hop = f.hop - 1) AS prev_id, f.hop FROM f WHERE f.hop > 0"""
@@ -353,15 +360,50 @@ def graph_paths_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.path(edges, "c1", _last_supplier(edges), 3, "cost").select("node_id", "ord")
 
 
-@query(f"SELECT node_id, hop FROM ({_reach()}) WHERE hop < 3")
-def match_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matched(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     s = session(spark, sf_dir)
-    s.register("trade", trade(spark, sf_dir))
+    s.register("trade", edges)
     s.execute("CREATE GRAPH shop NODES(Any KEY(id)) EDGES(Trades FROM Any TO Any) USING TABLES(nodes=trade, edges=trade, time=t)")
     s.execute("USE GRAPH shop")
     return s.execute("MATCH (s:Any { key: 'c1' })-[:Trades*1..2]->(t:Any) RETURN t.key AS node_id, g.hop AS hop")
 
 
+@query(f"SELECT node_id, hop FROM ({_reach()}) WHERE hop < 3")
+def match_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir, trade(spark, sf_dir))
+
+
+# the same over the edges of all customers and parts
+@query(_reach(edges=_ALL_EDGES))
+def graph_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbors(all_trade(spark, sf_dir), "c1", 3)
+
+
+@query(_reach("t BETWEEN 800000000000 AND 900000000000", _ALL_EDGES))
+def graph_neighbors_time_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbors(all_trade(spark, sf_dir), "c1", 3, "t", 800_000_000_000, 900_000_000_000)
+
+
+_ALL_PATHS = _PATHS.replace(_EDGES, _ALL_EDGES)
+
+
+@query(_ALL_PATHS.format(w="1.0"))
+def graph_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = all_trade(spark, sf_dir)
+    return graph.path(edges, "c1", _last_supplier(edges), 3).select("node_id", "ord")
+
+
+@query(_ALL_PATHS.format(w="e.w"))
+def graph_paths_weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = all_trade(spark, sf_dir)
+    return graph.path(edges, "c1", _last_supplier(edges), 3, "cost").select("node_id", "ord")
+
+
+@query(f"SELECT node_id, hop FROM ({_reach(edges=_ALL_EDGES)}) WHERE hop < 3")
+def match_rewrite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir, all_trade(spark, sf_dir))
+
+
 # sinks and changes
 def stored(spark: SparkSession, sf_dir: str) -> Session:
     base = spark.conf.get("spark.checkpoint.dir", None)
