@@ -199,6 +199,26 @@ def by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.query("SELECT COUNT(value) AS n, COALESCE(MAX(value), -1) AS m FROM events BY SLICE(USING spells)")
 
 
+# the same over the spells of all users
+@query(_busy_sql("event_type = 'purchase'"))
+def slice_table_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    s.register("spells", s.table("events").select(F.col("_time").alias("_start_date"), (F.col("_time") + 3_600_000).alias("_end_date"), "event_type"))
+    return s.execute("SLICE USING spells WHERE event_type = 'purchase'")
+
+
+@query(_busy_sql("user_id IS NOT NULL"))
+def slice_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.union(busy(spark, sf_dir, "user_id % 2 = 0"), busy(spark, sf_dir, "user_id % 2 <> 0"))
+
+
+@query(f"SELECT s._start_date AS _time, count(e.value) AS n, coalesce(max(e.value), -1) AS m FROM ({_busy_sql('true')}) s LEFT JOIN {EV} e ON e._time >= s._start_date AND e._time < s._end_date GROUP BY 1")
+def by_slice_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    s.register("spells", busy(spark, sf_dir, "true"))
+    return s.query("SELECT COUNT(value) AS n, COALESCE(MAX(value), -1) AS m FROM events BY SLICE(USING spells)")
+
+
 # windows, order, sets
 dialect("row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders")
 dialect("row_number_partition", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
