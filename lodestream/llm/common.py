@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 16_000_000) -> Iterator[None]:
+    """Arrow batches of at most about ``size`` bytes, for rows that carry whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def mapped(
     df: DataFrame,
     columns: Sequence[str],

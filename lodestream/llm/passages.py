@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import shingles
-from .common import checkpointed, mix64, texts, written
+from .common import checkpointed, mix64, small_batches, texts, written
 from .components import components
 from .suffixes import _batch, _chosen, _repeated, _split
 
@@ -146,7 +146,6 @@ def passages_of(mine: np.ndarray, other: np.ndarray, width: int = TOKENS, simila
     at = np.full(len(mine), -1)
     at[there] = order[place[there]]
     need = int(np.ceil(2 * similarity * width / (1 + similarity) - 1e-9))
-    repeats = len(np.unique(other)) < len(other)
     ends = np.searchsorted(other[order], mine, side="right")
     count = np.concatenate(([0], np.cumsum(there)))
     starts = np.flatnonzero(count[width:] - count[:-width] >= need)
@@ -162,9 +161,14 @@ def passages_of(mine: np.ndarray, other: np.ndarray, width: int = TOKENS, simila
             common = len(stretch & twin)
             return common >= similarity * (len(stretch) + len(twin) - common)
 
-        # Where tokens stand in several places there, the middle of the first ones may miss the twin.
-        if not resembles(middle) and not (repeats and any(map(resembles, {x - k for k in range(width) for x in order[place[s + k] : ends[s + k]].tolist()}))):
-            continue
+        if not resembles(middle):
+            # Where tokens stand in several places there, the middle of the first ones may miss the twin: try what most of them agree on.
+            if (ends[s : s + width] - place[s : s + width]).max() < 2:
+                continue
+            shifts = np.concatenate([order[place[s + k] : ends[s + k]] - k for k in range(width)])
+            shift, votes = np.unique(shifts, return_counts=True)
+            if not any(map(resembles, shift[2 * votes >= need].tolist())):
+                continue
         if out and s <= out[-1][1]:
             out[-1][1] = s + width
         else:
@@ -176,13 +180,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first text's tokens between ra and rb, beside each pair."""
     for batch in batches:
         raws, last, tokens = texts(batch.column("rtext")), None, np.zeros(0, np.uint64)
-        made = []
-        for raw, a, b in zip(raws, batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True):
+        names = ["rt", "d", "t", "a", "b"]
+        made, size, start = [], 0, 0
+        for k, (raw, a, b) in enumerate(zip(raws, batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True)):
             if raw != last:
                 tokens, last = shingles(raw), raw
             made.append(tokens[a : b + 1].tobytes())
-        names = ["rt", "d", "t", "a", "b"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(made, pa.binary())], names=[*names, "slice"])
+            size += len(made[-1])
+            if size > BLOCK_BYTES or k == len(raws) - 1:
+                part = batch.slice(start, len(made))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(made, pa.binary())], names=[*names, "slice"])
+                made, size, start = [], 0, k + 1
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +220,8 @@ def _links(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFrame
     sliced = pairs.join(rep_texts, "rt").mapInArrow(_slices, "rt long, d long, t long, a int, b int, slice binary")
     mine = pairs.select(F.col("d").alias("__d"), F.col("t").alias("__t")).distinct().withColumn("blobs", F.lit(None).cast("string"))
     my_texts = _chosen(docs, mine, doc_id, text).dropDuplicates(["__d", "__t"]).select(F.col("__t").alias("t"), F.col("__text").alias("text"))
-    return checkpointed(sliced.join(my_texts, "t").mapInArrow(_verified, "v long, u long, spans array<string>"))
+    with small_batches(docs.sparkSession):
+        return checkpointed(sliced.join(my_texts, "t").mapInArrow(_verified, "v long, u long, spans array<string>"))
 
 
 def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
