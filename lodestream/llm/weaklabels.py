@@ -217,9 +217,12 @@ def _sampled(docs: DataFrame, doc_id: str, text: str, rows: int, n: int, seed: i
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labels: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS, labelled_rows: int = LABELLED_ROWS) -> Model:
     """Label models from the votes of all rows; scorers from about ``sample_rows`` rows, chosen by a hash.
 
-    ``labels`` (doc_id, toxic), where given, add labellers on words learned from about ``labelled_rows`` rows of docs.
+    ``labels`` (doc_id, toxic), where given, add labellers on words learned from about ``labelled_rows`` of the labelled rows.
     """
-    learned = learned_words(_sampled(docs, doc_id, text, labelled_rows, docs.count(), 31), labels, doc_id, text) if labels is not None else frozenset()
+    learned = frozenset()
+    if labels is not None:
+        known = docs.join(labels.where("toxic IS NOT NULL").select(F.col(doc_id).alias("__known")), F.col(f"`{doc_id}`") == F.col("__known"), "left_semi")
+        learned = learned_words(_sampled(known, doc_id, text, labelled_rows, known.count(), 31), labels, doc_id, text)
 
     def vote_rows(column: pa.Array) -> list[pa.Array]:
         both = [votes(View(raw, learned)) for raw in texts(column)]

@@ -382,3 +382,9 @@ def test_label_model_finds_accuracies():
 def test_classified(docs):
     out = weaklabels.classified(docs, sample_rows=200)
     assert out.count() == docs.count() and out.where("kept IS NULL").count() == 0
+
+
+def test_labelled_sample_is_of_labelled_rows(spark):
+    docs = spark.createDataFrame([(k, f"plain words number {k}" + (" grumbleword" if k < 20 else "")) for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k < 20)) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert "grumbleword" in weaklabels.fit(docs, labels=labels, sample_rows=100, labelled_rows=40).learned
