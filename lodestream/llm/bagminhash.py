@@ -7,15 +7,20 @@ arrivals by register are a signature whose registers agree with the probability
 process ends once it is past the document's latest register, so that a document costs little more than a point for
 each shingle. All documents of a block advance together in numpy.
 
-Signatures are banded. Documents with equal multisets are one node. Candidates never are all pairs of a bucket: in two
-rounds every node meets one node of its bucket, and verified links are merged to components. Buckets that still hold
-several components are compared pair by pair where they are small; nodes of large ones get a second signature with
-longer bands, which tells apart what only resembles, and meet in its buckets: pivots, more in every round and in the last
-one all nodes, until no bucket holds two components that haven't been compared node by node. Links are verified on the
-whole multisets, which are made again for candidate nodes only.
-
-Defined results: a text of fewer than five words is one shingle; a text without words (null, empty) has no link and is
-its own class; a class is named by its least doc_id; repeated rows are in one class.
+Signatures are banded. Documents with equal multisets are one node. Two rounds verify multiset overlap:
+
+1. every node meets the most central node of each of its buckets, and verified links merge components;
+2. in each bucket that still holds several components, all pairs of nodes of different components are compared. A bucket
+   is dealt out in cells of bounded size: its largest component's nodes only meet the others, and a cell counts common
+   shingles for all its nodes at once and returns a spanning forest of the links it finds, never the pairs.
+
+So every pair of a bucket at the wanted similarity ends in one class, whatever the bucket's size. What a bucket costs is
+the number of nodes outside its largest component times the number of its nodes, as a count in memory; shuffled are
+whole cells. Links are verified on the whole multisets, which are made again for candidate nodes only.
+
+Defined results: a text of fewer than five words is one shingle; a text without words (null, empty) is its own class; a
+text of any length is read whole; a class is named by its least doc_id; repeated rows are in one class; an empty table
+gives an empty table. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -26,23 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, texts
+from .common import checkpointed, column, free_name, mix64, small_batches, texts
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 24
-#: Bands of the second signature: a pair at similarity 0.8 shares none with a chance of 8e-5.
-FINE_ROWS, FINE_BANDS = 7, 40
-FINE_BLOCK = 500_000
-SMALL_BUCKET = 32
-#: Nodes that every node of a bucket of longer bands meets in the first round; eight times as many in each next one.
-PIVOTS = 8
-#: Positions of the bitmap that tells candidate rows apart before they are shuffled: 2 MB, whatever the input.
-BITS = 1 << 24
+#: Nodes and shingles of one side of a cell.
+CELL_NODES, CELL_SHINGLES = 1000, 250_000
+#: A hub's partners are dealt out to so many keys.
+SALTS = 64
+#: Bits for an id, and the most bits, of the bitmap that tells candidate rows apart before they are shuffled (32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
 BLOCK_BYTES = 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
@@ -155,21 +158,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = signatures(np.concatenate([e for e, _ in bags]), np.concatenate([w for _, w in bags]), owner, len(bags))
             keys = band_keys(made)
             nodes = [_node(members(e, w)) if len(e) else None for e, w in bags]
+            counts = pa.array([int(w.sum()) for _, w in bags], pa.int64())
             key_lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.slice(block.start, len(block)), pa.array(nodes, pa.binary()), key_lists], names=["__id", "__node", "__keys"])
+            yield pa.RecordBatch.from_arrays([ids.slice(block.start, len(block)), pa.array(nodes, pa.binary()), counts, key_lists], names=["__id", "__node", "__size", "__keys"])
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__id, __node, __keys) of every row; __node is null for a text without words."""
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`"))
-    return slim.mapInArrow(_signed, "__id long, __node binary, __keys array<long>")
+    """(__id, __node, __size, __keys) of every row; __node is null for a text without words."""
+    slim = docs.select(column(doc_id).cast("long").alias("__id"), column(text).alias("__text"))
+    return slim.mapInArrow(_signed, "__id long, __node binary, __size long, __keys array<long>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """The bits of hashed ids, as bytes: at most BITS of them, in rows of 4 KB."""
-    place = F.pmod(F.xxhash64("__id"), F.lit(BITS)) + 1
+    """The bits of hashed ids, as bytes: some sixteen bits for an id, at most MOST_BITS; in rows of 4 KB."""
+    n_bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("__id"), F.lit(n_bits)) + 1
     rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(n_bits // 8, np.uint8)
     for r in rows:
         piece = np.frombuffer(bytes(r["m"]), np.uint8)
         at = (r["b"] - 1) * len(piece)
@@ -182,14 +187,15 @@ def flagged(docs: DataFrame, ids: DataFrame, columns: list[str], doc_id: str = "
 
     A row outside the bitmap isn't among ``ids``; one inside may be, so an exact join has to follow.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
-    place = F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("long")), F.lit(BITS))
-    return docs.select(*[F.col(f"`{c}`") for c in columns], place.alias("__bit")), spread
+    made = _bitmap(ids)
+    spread = docs.sparkSession.sparkContext.broadcast(made)
+    place = F.pmod(F.xxhash64(column(doc_id).cast("long")), F.lit(8 * len(made)))
+    return docs.select(*[column(c) for c in columns], place.alias("__bit")), spread
 
 
 def bags_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, bag) of the wanted nodes (__node, __id: one row of each), made again from the rows' texts."""
-    rows, spread = flagged(docs, nodes, [text], doc_id)
+    rows, spread = flagged(docs.select(column(doc_id).alias("__doc"), column(text).alias("__text")), nodes, ["__text"], "__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = spread.value
@@ -209,62 +215,134 @@ def bags_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFr
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose multisets overlap enough."""
-    a, b = bags.select(F.col("node").alias("u"), F.col("bag").alias("__a")), bags.select(F.col("node").alias("v"), F.col("bag").alias("__b"))
-    both = pairs.join(a, "u").join(b, "v")
+    """The pairs (u, v) whose multisets overlap enough. A hub ``v`` has a copy of its bag for each of at most SALTS keys."""
+    salted = pairs.withColumn("__s", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    mine = salted.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("__a")), "u")
+    hubs = salted.select("v", "__s").distinct().join(bags.select(F.col("node").alias("v"), F.col("bag").alias("__b")), "v")
     common = F.size(F.array_intersect("__a", "__b"))
-    return both.where(common >= F.lit(similarity) * (F.size("__a") + F.size("__b") - common)).select("u", "v")
+    return mine.join(hubs, ["v", "__s"]).where(common >= F.lit(similarity) * (F.size("__a") + F.size("__b") - common)).select("u", "v")
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, score, root, keys) with the keys of the longer bands, from (node, score, root, bag)."""
-    for batch in batches:
-        ends = batch.column(3).offsets.to_numpy()
-        elements = batch.column(3).values.to_numpy(zero_copy_only=False).view(np.uint64)
-        start = 0
-        while start < len(batch):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + FINE_BLOCK, side="right")) - 1)
-            mine = mix64(elements[ends[start] : ends[stop]] ^ _GOLD)
-            owner = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
-            keys = band_keys(signatures(mine, np.ones(len(mine), np.int64), owner, stop - start, FINE_ROWS * FINE_BANDS), FINE_ROWS)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, stop - start) for k in range(3)), lists], names=["node", "score", "root", "keys"])
-            start = stop
-
+def _star(rooted: DataFrame) -> DataFrame:
+    """Pairs (u, v) of every node with the most central node of each of its buckets."""
+    first = rooted.groupBy("key").agg(F.min_by("node", F.struct(-F.col("score"), F.col("node"))).alias("v"))
+    return rooted.join(first, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
-def _pairs_of_small(grouped: DataFrame) -> DataFrame:
-    """All pairs of different components within groups of at most SMALL_BUCKET members (column __m: structs node, root)."""
-    left = grouped.select(F.explode("__m").alias("a"), "__m")
-    both = left.select("a", F.explode(F.filter("__m", lambda x: (x["node"] < F.col("a.node")) & (x["root"] != F.col("a.root")))).alias("b"))
-    return both.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
+def cells(rooted: DataFrame, nodes_of: int | None = None, shingles_of: int | None = None) -> DataFrame:
+    """(key, cell, node, root): buckets of three nodes or more that hold several components, dealt out in cells.
 
-def _star(rows: DataFrame, key: list[str], by: Column) -> DataFrame:
-    """Pairs (u, v) of every node with the node of its bucket that is first ``by``, where their components differ."""
-    first = rows.groupBy(*key).agg(F.min_by(F.struct("node", "root"), by).alias("__f"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    met = rows.join(first, key).where((F.col("node") != F.col("__f.node")) & (F.col("root") != F.col("__f.root")))
-    return met.select(F.greatest("node", F.col("__f.node")).alias("u"), F.least("node", F.col("__f.node")).alias("v")).distinct()
+    Of two nodes of different components some cell holds both. Buckets of the same members count once.
+    """
+    nodes_of, shingles_of = nodes_of or CELL_NODES, shingles_of or CELL_SHINGLES
+    parts = rooted.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    )
+    whole = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main"),
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+    )
+    # The members of two nodes have met already.
+    open_ = whole.where("roots > 1 AND n > 2").groupBy("n", "x", "y", "roots").agg(F.min_by(F.struct("key", "size", "main"), "key").alias("b")).select("n", "b.*")
+    side = lambda n, size: F.greatest(F.lit(1), F.ceil(n / nodes_of), F.ceil(size / shingles_of))
+    sized = open_.select(
+        "key", F.col("main.root").alias("main"), side(F.col("main.n"), F.col("main.size")).alias("of_main"), side(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("of_rest")
+    )
+    held = rooted.join(sized, "key").withColumn("in_main", F.col("root") == F.col("main"))
+    chunk = F.pmod(F.xxhash64(F.lit(2), "node"), F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest")))
+    rest, main = (F.sequence(F.lit(0).cast("long"), F.col(n) - 1) for n in ("of_rest", "of_main"))
+    base = F.col("of_rest") * F.col("of_rest")
+    with_rest = F.transform(rest, lambda x: F.least(x, chunk) * F.col("of_rest") + F.greatest(x, chunk))
+    with_main = F.transform(main, lambda y: base + chunk * F.col("of_main") + y)
+    of_main = F.transform(rest, lambda x: base + x * F.col("of_main") + chunk)
+    single = F.col("of_rest") + F.col("of_main") == 2
+    made = F.when(single, F.array(F.lit(0).cast("long"))).when(F.col("in_main"), of_main).otherwise(F.concat(with_rest, with_main))
+    return held.select("key", "node", "root", F.explode(made).alias("cell"))
+
+
+def common_counts(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many elements each two of ``n`` sets share."""
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    edges = np.flatnonzero(np.concatenate(([True], elements[1:] != elements[:-1]))) if len(elements) else np.zeros(0, np.int64)
+    df = np.diff(np.concatenate((edges, [len(elements)])))
+    flat = np.zeros(n * n, np.int64)
+    for d in range(2, 9):  # what few sets share adds to each of their pairs
+        of = owner[edges[df == d][:, None] + np.arange(d)]
+        for a in range(d):
+            for b in range(a + 1, d):
+                flat += np.bincount(of[:, a] * n + of[:, b], minlength=n * n)
+    out = flat.reshape(n, n).astype(np.float32)
+    out += out.T
+    many = np.flatnonzero(df > 8)
+    step = max(1, 16_000_000 // max(1, n))
+    for k in range(0, len(many), step):  # what many share is a product of 0/1 matrices
+        part = many[k : k + step]
+        of = np.concatenate([owner[edges[t] : edges[t] + df[t]] for t in part])
+        dense = np.zeros((n, len(part)), np.float32)
+        dense[of, np.repeat(np.arange(len(part)), df[part])] = 1
+        out += dense @ dense.T
+    return out
 
 
-def _pivoted(rows: DataFrame, pivots: int) -> DataFrame:
-    """Pairs (u, v) of every node of a bucket (of __n nodes) with about so many of its nodes, all of them if it has no more, where their components differ."""
-    first = rows.where(F.pmod(F.xxhash64("node"), F.col("__n")) < pivots).select("key", F.struct("node", "root").alias("__f"))
-    met = rows.join(first, "key").where((F.col("node") != F.col("__f.node")) & (F.col("root") != F.col("__f.root")))
-    return met.select(F.greatest("node", F.col("__f.node")).alias("u"), F.least("node", F.col("__f.node")).alias("v")).distinct()
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a symmetric 0/1 matrix that connect what it connects."""
+    seen, out = np.zeros(len(linked), bool), []
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if seen[start]:
+            continue
+        seen[start], stack = True, [start]
+        while stack:
+            at = stack.pop()
+            new = np.flatnonzero(linked[at] & ~seen).tolist()
+            seen[new] = True
+            out += [(at, x) for x in new]
+            stack += new
+    return out
 
 
-def _open(rooted: DataFrame, key: list[str]) -> DataFrame:
-    """Buckets that hold several components: their keys and sizes."""
-    parts = rooted.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("__c"))
-    return parts.groupBy(*key).agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1")
+def by_cell(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first ``n_keys`` columns, of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(n_keys)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            now = tuple(keys[a].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _settled(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) between different components of a cell, from rows (key, cell, node, root, bag) sorted by cell."""
+    for cell in by_cell(batches, 2):
+        nodes, roots = cell.column("node").to_pylist(), cell.column("root").to_pylist()
+        bags = cell.column("bag").combine_chunks()
+        sizes = np.diff(bags.offsets.to_numpy())
+        n = len(nodes)
+        common = common_counts(bags.flatten().to_numpy(), np.repeat(np.arange(n), sizes), n)
+        known: dict[bytes, int] = {}
+        root = np.array([known.setdefault(r, len(known)) for r in roots])
+        linked = (common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6) & (root[:, None] != root[None, :])
+        found = forest(linked)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], names=["u", "v"])
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the class's least doc_id), n_links (verified links of its text to other texts), class_size."""
-    central_first = F.struct(-F.col("score"), F.col("node"))
+    """One row for each row of ``docs``: doc_id, class_id (the class's least doc_id), class_size."""
     rows = checkpointed(signed(docs, doc_id, text))
-    nodes = checkpointed(rows.where("__node IS NOT NULL").groupBy("__node").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("__n"), F.first("__keys").alias("__keys")))
-    banded = nodes.select(F.col("__node").alias("node"), F.explode("__keys").alias("key"))
+    of_node = rows.where("__node IS NOT NULL").groupBy("__node")
+    nodes = checkpointed(of_node.agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("__n"), F.first("__size").alias("__size"), F.first("__keys").alias("__keys")))
+    banded = nodes.select(F.col("__node").alias("node"), F.col("__size").alias("size"), F.explode("__keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     met = banded.join(shared, "key")
     # How many it meets in all its buckets: most for the text that copies of one group descend from.
@@ -272,62 +350,27 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     buckets = checkpointed(met.drop("__n").join(central, "node"))
     candidates = buckets.select(F.col("node").alias("__node")).distinct().join(nodes.select("__node", "__id"), "__node")
     bags = checkpointed(bags_of(docs, candidates, doc_id, text))
-    rooted = buckets.select("key", "node", "score", F.col("node").alias("root"))
-    tried, links, edges = None, None, None
-
-    def settle(pairs: DataFrame) -> None:
-        """Verify new pairs and merge most of the components: a node left out only meets more nodes."""
-        nonlocal tried, links, edges, rooted
-        new = checkpointed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        if tried is not None and new.isEmpty():
-            return
-        found = checkpointed(verified(new, bags, similarity))
-        tried, links = new if tried is None else tried.unionAll(new), found if links is None else links.unionAll(found)
-        edges = found if edges is None else edges.unionAll(found)
-        edges = components(edges, 2).select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("root")))
-
-    # Every node meets the most central one of each of its buckets; then one node more, by another order.
-    settle(_star(rooted, ["key"], central_first))
-    still = rooted.join(_open(rooted, ["key"]).where("__n > 2").select("key"), "key")
-    settle(_star(still, ["key"], F.md5("node")).groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v")))
-    open_ = checkpointed(_open(rooted, ["key"]).where("__n > 2"))
-    if not open_.isEmpty():
-        small = rooted.join(open_.where(F.col("__n") <= SMALL_BUCKET).select("key"), "key")
-        large = rooted.join(open_.where(F.col("__n") > SMALL_BUCKET).select("key"), "key").select("node", "score", "root").distinct()
-        member = F.struct("node", "root")
-        more = _pairs_of_small(small.groupBy("key").agg(F.collect_list(member).alias("__m")))
-        # What shares a large bucket meets again in the buckets of longer bands: so many rows for each node, whatever its buckets hold.
-        signed_again = checkpointed(large.join(bags, "node").select("node", "score", "root", "bag").mapInArrow(_finer, "node binary, score long, root binary, keys array<long>"))
-        finer = signed_again.select("node", F.explode("keys").alias("key"))
-        settle(more)
-        # In every bucket more and more pivots meet all nodes of other components, until all its nodes have been pivots.
-        pivots = PIVOTS
-        while True:
-            now = finer.join(rooted.select("node", "root").distinct(), "node")
-            still = checkpointed(_open(now, ["key"]))
-            most = still.agg(F.max("__n")).first()[0] or 0
-            if not most:
-                break
-            settle(_pivoted(now.join(still.select("key", "__n"), "key"), pivots))
-            if pivots >= most:
-                break
-            pivots *= 8
-    roots = components(edges)
-    ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    edges = components(checkpointed(verified(_star(buckets), bags, similarity)), 2).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    dealt = cells(rooted).join(bags, "node").select("key", "cell", "node", "root", "bag")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    with small_batches(docs.sparkSession):
+        more = checkpointed(dealt.mapInArrow(lambda batches: _settled(batches, similarity), "u binary, v binary"))
+    roots = components(edges.unionAll(more))
     named = nodes.select(F.col("__node").alias("node"), "__id", "__n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("__id").alias("class_id"), F.sum("__n").alias("class_size"))
-    of_node = named.join(classes, "root").join(ends, "node", "left").select(F.col("node").alias("__node"), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_node = named.join(classes, "root").select(F.col("node").alias("__node"), "class_id", "class_size")
     # Texts without words have nodes of their own, so that null doesn't gather them in one task.
     with_words = rows.where("__node IS NOT NULL").select("__id", "__node").join(of_node, "__node")
-    out = with_words.select(F.col("__id").alias("doc_id"), "class_id", "n_links", "class_size")
-    alone = rows.where("__node IS NULL").select(F.col("__id").alias("doc_id"), F.col("__id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
+    out = with_words.select(F.col("__id").alias("doc_id"), "class_id", "class_size")
+    alone = rows.where("__node IS NULL").select(F.col("__id").alias("doc_id"), F.col("__id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionAll(alone)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their class; texts without words all stay."""
+    """The rows of ``docs`` that are the least doc_id of their class, their columns as they are; texts without words and rows without a doc_id all stay."""
     classes = checkpointed(near_groups(docs, doc_id, text, similarity))
-    gone = classes.where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    name = free_name(docs, "__gone")
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, column(doc_id).cast("long") == F.col(name), "left_anti")

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or that with underscores before it, whichever no column of ``df`` has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def _shared_folder(spark: SparkSession) -> None:
     """Name the checkpoint folder: the session's ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
@@ -75,7 +88,7 @@ def mapped(
     """
     wanted = list(dict.fromkeys([*keep, *columns]))
     # Positions, not names, reach the function: extra columns and clashing names are no concern of it.
-    source = df.select(*[F.col(f"`{c}`") for c in wanted])
+    source = df.select(*[column(c) for c in wanted])
     n_keep = len(keep)
     where = [wanted.index(c) for c in columns]
     schema = T.StructType([*source.schema.fields[:n_keep], *(T.StructField(n, t) for n, t in added)])

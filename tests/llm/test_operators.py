@@ -163,8 +163,8 @@ def test_near_groups(docs):
 
 
 def test_near_groups_of_one_template(spark, monkeypatch):
-    # Buckets of more than four nodes go the way of large ones.
-    monkeypatch.setattr(bagminhash, "SMALL_BUCKET", 4)
+    # Buckets are dealt out in many cells.
+    monkeypatch.setattr(bagminhash, "CELL_NODES", 25)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     template = [word() for _ in range(300)]
@@ -194,6 +194,16 @@ def test_near_groups_of_one_template(spark, monkeypatch):
     assert got == {k: find(k) for k in range(300)}
 
 
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 40):
+        sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50)))) for _ in range(n)]
+        got = bagminhash.common_counts(np.concatenate(sets), np.repeat(np.arange(n), list(map(len, sets))), n)
+        for i in range(n):
+            for j in range(i):
+                assert got[i, j] == got[j, i] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_licences(docs):
     by_id = {r["doc_id"]: r for r in licences.scan(docs).collect()}
     lower = str.maketrans(licences.UPPER, licences.LOWER)
