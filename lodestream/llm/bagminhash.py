@@ -229,27 +229,26 @@ def _star(rooted: DataFrame) -> DataFrame:
     return rooted.join(first, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def cells(rooted: DataFrame, nodes_of: int | None = None, shingles_of: int | None = None) -> DataFrame:
-    """(key, cell, node, root): buckets of three nodes or more that hold several components, dealt out in cells.
+def cells(rooted: DataFrame, nodes_of: int | None = None, shingles_of: int | None = None, node: str = "node", least: int = 3) -> DataFrame:
+    """The rows of buckets (key) of ``least`` nodes or more that hold several components (root), and the cells they are dealt out to.
 
     Of two nodes of different components some cell holds both. Buckets of the same members count once.
     """
     nodes_of, shingles_of = nodes_of or CELL_NODES, shingles_of or CELL_SHINGLES
     parts = rooted.groupBy("key", "root").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64(node)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), node)).alias("y")
     )
     whole = parts.groupBy("key").agg(
         F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main"),
         F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
     )
-    # The members of two nodes have met already.
-    open_ = whole.where("roots > 1 AND n > 2").groupBy("n", "x", "y", "roots").agg(F.min_by(F.struct("key", "size", "main"), "key").alias("b")).select("n", "b.*")
+    open_ = whole.where((F.col("roots") > 1) & (F.col("n") >= least)).groupBy("n", "x", "y", "roots").agg(F.min_by(F.struct("key", "size", "main"), "key").alias("b")).select("n", "b.*")
     side = lambda n, size: F.greatest(F.lit(1), F.ceil(n / nodes_of), F.ceil(size / shingles_of))
     sized = open_.select(
         "key", F.col("main.root").alias("main"), side(F.col("main.n"), F.col("main.size")).alias("of_main"), side(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("of_rest")
     )
     held = rooted.join(sized, "key").withColumn("in_main", F.col("root") == F.col("main"))
-    chunk = F.pmod(F.xxhash64(F.lit(2), "node"), F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest")))
+    chunk = F.pmod(F.xxhash64(F.lit(2), node), F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest")))
     rest, main = (F.sequence(F.lit(0).cast("long"), F.col(n) - 1) for n in ("of_rest", "of_main"))
     base = F.col("of_rest") * F.col("of_rest")
     with_rest = F.transform(rest, lambda x: F.least(x, chunk) * F.col("of_rest") + F.greatest(x, chunk))
@@ -257,7 +256,7 @@ def cells(rooted: DataFrame, nodes_of: int | None = None, shingles_of: int | Non
     of_main = F.transform(rest, lambda x: base + x * F.col("of_main") + chunk)
     single = F.col("of_rest") + F.col("of_main") == 2
     made = F.when(single, F.array(F.lit(0).cast("long"))).when(F.col("in_main"), of_main).otherwise(F.concat(with_rest, with_main))
-    return held.select("key", "node", "root", F.explode(made).alias("cell"))
+    return held.select(*rooted.columns, F.explode(made).alias("cell"))
 
 
 def common_counts(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -353,6 +352,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     edges = components(checkpointed(verified(_star(buckets), bags, similarity)), 2).select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     rooted = checkpointed(buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    # The nodes of a bucket of two have met already.
     dealt = cells(rooted).join(bags, "node").select("key", "cell", "node", "root", "bag")
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
     with small_batches(docs.sparkSession):

@@ -5,22 +5,30 @@ stretches with the same least token form a compact window (first, least, last):
 token hashes, so a text of n tokens has about n / 23 of them. Passages that resemble each other share least tokens
 under most hash functions.
 
-1. Windows of four functions tell texts that share any; 2. these texts give their windows around shared tokens under
-all six functions; every window meets the first text's window of its token, aligned there, and intervals that overlap
-by a passage's length count; 3. pairs of texts that agree under three functions or more are verified: stretches of 46
-tokens of which enough stand together in the other text for a similarity of 0.8; 4. verified links give classes; 5. all
-windows of a token meet, but those of two texts of one class where verified spans cover the later window already, and
-steps 3 and 4 run again. What is left out in 5 adds no class and no span: every window that leads a stretch holds it.
-
-Tables are slim rows by token, aggregated before they meet; a token of very many texts is a skewed join key, which
-adaptive execution splits. A token that stands in many texts of different classes gives a pair for each two of them.
-
-Defined results: texts of fewer than 50 words (null, empty) have no passage and are classes of their own; equal texts
-are one node; a class is named by its least doc_id; repeated rows report the same.
+1. A stretch that resembles one of another text at similarity 0.8 shares 41 of its 46 tokens with it. Tokens are dealt
+   out by hash as 32-bit marks; those of two texts or more come back to their texts. Only areas of stretches with 41
+   such tokens go on: a condition that every near-duplicate passage meets.
+2. Areas give their compact windows under eight functions. Every window meets the first window of its token; the
+   intervals are aligned at the token, and pairs of areas whose windows overlap by a passage's length under three
+   functions or more are verified token by token. Verified links give classes.
+3. A token whose windows still lie in several classes is open. All its different windows of different classes are
+   compared with their surroundings (at most 91 tokens), in cells of bounded size that return a spanning forest of the
+   links they find. So any two texts with resembling passages that share a least token under any function end in one
+   class; a stretch at similarity 0.8 shares none of the eight with a chance of 3e-6.
+
+Tokens of very many windows get their first window by a broadcast of at most HOT_TOKENS rows, and are dealt out over
+salts. What an open token costs is the number of its different windows outside its largest class times all of them, as
+a count in memory.
+
+Defined results: texts of fewer than 50 words (null, empty) have no passage and are classes of their own; a text of any
+length is read whole; equal texts are one node; a class is named by its least doc_id; repeated rows report the same; an
+empty table gives an empty table. ``spans`` are the word ranges that verified links cover in the later of two texts;
+a text that joined its class by one passage need not list its others. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bagminhash import shingles
-from .common import checkpointed, mix64, small_batches, texts, written
+from .bagminhash import by_cell, cells, common_counts, shingles
+from .common import checkpointed, column, mix64, small_batches, texts, written
 from .components import components
-from .suffixes import _batch, _chosen, _repeated, _split
+from .suffixes import _POWERS, _batch, _chosen, _joined, _split
 
 TOKENS = 46
 SIMILARITY = 0.8
-FUNCTIONS, FIRST_FUNCTIONS, AGREE = 6, 4, 3
+FUNCTIONS, AGREE = 8, 3
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 16_000_000
+#: Tokens of more than this share of all windows, and more than so many, are dealt out over SALTS keys.
+HOT_TOKENS, HOT_WINDOWS = 1000, 20_000
+SALTS = 64
+CELL_WINDOWS = 1000
 NULL_ID = -(2**63)
 
 
+def needed(width: int = TOKENS, similarity: float = SIMILARITY) -> int:
+    """The tokens that two stretches of ``width`` have in common at least."""
+    return int(np.ceil(2 * similarity * width / (1 + similarity) - 1e-9))
+
+
 def token_hashes(tokens: np.ndarray, function: int) -> np.ndarray:
     return mix64(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (function + 1) % 2**64))
 
@@ -83,92 +100,252 @@ def compact_windows(hashes: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray
     return first, at, last
 
 
-def _first_windows(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of (token hash, text, place) by shard, for the first functions; equal texts of a block once."""
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
+    """Blobs by shard: the marks of the different tokens of each text, the texts, and how many marks each has; equal texts of a batch once.
+
+    The highest bit of that number tells a text that repeats so many tokens that fewer marks may make up a stretch.
+    """
+
+    def flush(parts: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
+        every = np.concatenate([x for _, x, _ in parts])
+        owner = np.repeat(np.arange(len(parts)), [len(x) for _, x, _ in parts])
+        keys = np.array([key for key, *_ in parts], np.int64)
+        flags = np.array([again for *_, again in parts], np.uint32) << np.uint32(31)
+        order, cuts = _split(((every & np.uint64(0xFFFFFFFF)) % np.uint64(n_shards)).astype(np.int64))
+        marks, owner = _marks(every[order]), owner[order]
+        rows = []
+        for shard, a, b in cuts:
+            of, n = np.unique(owner[a:b], return_counts=True)
+            rows.append((shard, marks[a:b].tobytes(), keys[of].tobytes(), (n.astype(np.uint32) | flags[of]).tobytes()))
+        return _batch(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "v", "t", "n"])
+
     for batch in batches:
         parts, size, seen = [], 0, set()
-        keys, raws = batch.column(0).to_pylist(), texts(batch.column(1))
-        for k, (key, raw) in enumerate(zip(keys, raws, strict=True)):
-            if key not in seen:
-                seen.add(key)
-                tokens = shingles(raw)
-                if len(tokens) >= TOKENS:
-                    for f in range(FIRST_FUNCTIONS):
-                        h = token_hashes(tokens, f)
-                        at = compact_windows(h)[1]
-                        parts.append((h[at], at * FIRST_FUNCTIONS + f, key))
-                    size += len(raw)
-            if parts and (size > BLOCK_BYTES or k == len(keys) - 1):
-                h = np.concatenate([p[0] for p in parts])
-                place = np.concatenate([p[1] for p in parts]).astype(np.uint32)
-                text = np.repeat(np.array([p[2] for p in parts], np.int64), [len(p[0]) for p in parts])
-                order, cuts = _split((h % np.uint64(n_shards)).astype(np.int64))
-                h, place, text = h[order], place[order], text[order]
-                rows = [(s, h[a:b].tobytes(), text[a:b].tobytes(), place[a:b].tobytes()) for s, a, b in cuts]
-                yield _batch(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "h", "t", "p"])
+        for key, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            if key in seen:
+                continue
+            seen.add(key)
+            tokens = shingles(raw)
+            if len(tokens) < TOKENS:
+                continue
+            different = np.unique(tokens)
+            parts.append((key, different, len(tokens) - len(different) > TOKENS - needed()))
+            size += len(raw)
+            if size > BLOCK_BYTES:
+                yield flush(parts)
                 parts, size = [], 0
+        if parts:
+            yield flush(parts)
+
+
+def _shared(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a shard's marks those that two different texts have, by text, and whether it repeats tokens."""
+    v, t, n = _joined(table["v"], np.uint32), _joined(table["t"], np.int64), _joined(table["n"], np.uint32)
+    again = (n >> np.uint32(31)).astype(bool).tolist()
+    owner = np.repeat(np.arange(len(t)), n & np.uint32(2**31 - 1))
+    order = np.argsort(v, kind="stable")
+    same = v[order[1:]] == v[order[:-1]]
+    of = np.concatenate(([0], np.cumsum(~same))) if len(v) else np.zeros(0, np.int64)
+    apart = t[owner[order[1:]]] != t[owner[order[:-1]]]
+    several = np.zeros(len(v) + 1, bool)
+    several[of[1:][same & apart]] = True
+    hit = np.sort(order[several[of]])
+    owners, counts = np.unique(owner[hit], return_counts=True)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    marks = v[hit]
+    rows = [(int(t[o]), marks[a:b].tobytes(), again[o]) for o, a, b in zip(owners.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.binary(), pa.bool_()), ["t", "p", "again"])])
+
+
+def areas(shared: np.ndarray, width: int = TOKENS, need: int | None = None) -> list[tuple[int, int]]:
+    """The unions of the stretches of ``width`` tokens with ``need`` shared ones, as (first, end)."""
+    if len(shared) < width:
+        return []
+    count = np.concatenate(([0], np.cumsum(shared)))
+    starts = np.flatnonzero(count[width:] - count[:-width] >= (needed(width) if need is None else need))
+    if not len(starts):
+        return []
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(starts) > width)))
+    last = np.concatenate((edge[1:], [len(starts)])) - 1
+    return list(zip(starts[edge].tolist(), (starts[last] + width).tolist(), strict=True))
+
+
+#: Of a window: hash of its least token and of its surroundings, function, area, first, least and last token.
+WINDOW = np.dtype([("h", "<i8"), ("x", "<i8"), ("f", "<i4"), ("s", "<i4"), ("a", "<i4"), ("c", "<i4"), ("b", "<i4")])
+
+
+def _reach(first: np.ndarray, least: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens, ends included, of all stretches of TOKENS tokens that a window has around its least one."""
+    return np.maximum(first, least - TOKENS + 1), np.minimum(last, least + TOKENS - 1)
+
+
+def windows_of(tokens: np.ndarray, area: int, start: int) -> list[np.ndarray]:
+    """The windows of one area, whose tokens stand from ``start`` on among those of all areas of the text."""
+    up, down = _POWERS.upto(len(tokens) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * down[: len(tokens)])))
+    out = []
+    for f in range(FUNCTIONS):
+        hashes = token_hashes(tokens, f)
+        first, least, last = compact_windows(hashes)
+        low, high = _reach(first, least, last)
+        made = np.empty(len(least), WINDOW)
+        made["h"] = hashes[least].view(np.int64)
+        made["x"] = mix64((sums[high + 1] - sums[low]) * up[low] + ((least - low) * 64 + (high - least)).astype(np.uint64)).view(np.int64)
+        made["f"], made["s"], made["a"], made["c"], made["b"] = f, area, first + start, least + start, last + start
+        out.append(made)
+    return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, d, t, f, first, least, last) of the windows whose least token lies where a first function's shared window does."""
+def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, t, tokens, places, windows) of each text with areas: their tokens end to end, the first token of each area there and in the text, and windows."""
     for batch in batches:
-        found: list[tuple] = []
+        rows, size = [], 0
         for doc, raw, key, blob in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            marked = np.frombuffer(b"".join(blob), np.uint32).astype(np.int64) >> 1
             tokens = shingles(raw)
-            hashes = [token_hashes(tokens, f) for f in range(FUNCTIONS)]
-            windows = [compact_windows(h) for h in hashes]
-            cover = np.zeros(len(tokens) + 1, np.int64)
-            for f in range(FIRST_FUNCTIONS):
-                first, at, last = windows[f]
-                hit = np.isin(at, marked[marked % FIRST_FUNCTIONS == f] // FIRST_FUNCTIONS)
-                # A shared stretch of TOKENS tokens lies this near its least token.
-                np.add.at(cover, np.maximum(first[hit], at[hit] - TOKENS + 1), 1)
-                np.add.at(cover, np.minimum(last[hit], at[hit] + TOKENS - 1) + 1, -1)
-            inside = np.cumsum(cover)[:-1] > 0
-            for f, (first, at, last) in enumerate(windows):
-                hit = inside[at]
-                n = int(hit.sum())
-                if n:
-                    found.append((hashes[f][at[hit]].view(np.int64), np.full(n, doc), np.full(n, key), np.full(n, f, np.int32), first[hit].astype(np.int32), at[hit].astype(np.int32), last[hit].astype(np.int32)))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["h", "d", "t", "f", "a", "c", "b"])
+            found = areas(np.isin(_marks(tokens), np.frombuffer(b"".join(blob), np.uint32)))
+            if not found:
+                continue
+            places, windows, at = [], [], 0
+            for k, (a, b) in enumerate(found):
+                windows += windows_of(tokens[a:b], k, at)
+                places.append((at, a))
+                at += b - a
+            rows.append((doc, key, np.concatenate([tokens[a:b] for a, b in found]).tobytes(), np.array(places, np.int64).tobytes(), np.concatenate(windows).tobytes()))
+            size += len(rows[-1][2]) + len(rows[-1][4])
+            if size > 4 * BLOCK_BYTES:
+                yield _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["d", "t", "tokens", "places", "windows"])
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["d", "t", "tokens", "places", "windows"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch], names: str, bits=None, root: bool = False) -> Iterator[pa.RecordBatch]:
+    """A row for each window, from (k, windows) or (k, windows, root): k, the fields ``names``, and root; of tokens in the bitmap alone where there is one."""
+    held = bits.value if bits is not None else None
+    for batch in batches:
+        blobs = batch.column(1).to_pylist()
+        start = 0
+        while start < len(blobs):
+            stop, size = start, 0
+            while stop < len(blobs) and (stop == start or size + len(blobs[stop]) < 4 * BLOCK_BYTES):
+                size += len(blobs[stop])
+                stop += 1
+            all_ = np.frombuffer(b"".join(blobs[start:stop]), WINDOW)
+            of = np.repeat(np.arange(start, stop), [len(x) // WINDOW.itemsize for x in blobs[start:stop]])
+            if held is not None:
+                place = _place(all_["h"], 8 * len(held))
+                hit = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                # Of one text's windows with the same surroundings one is enough.
+                _, single = np.unique(np.stack((all_["h"][hit], all_["x"][hit], of[hit])), axis=1, return_index=True)
+                all_, of = all_[hit[single]], of[hit[single]]
+            if len(all_):
+                columns = [pa.array(batch.column(0).to_numpy()[of]), *(pa.array(all_[n].copy()) for n in names)]
+                labels = ["k", *names]
+                if root:
+                    columns.append(pa.array(batch.column(2).to_numpy()[of]))
+                    labels.append("root")
+                yield pa.RecordBatch.from_arrays(columns, names=labels)
+            start = stop
+
+
+def _place(h: np.ndarray, n_bits: int) -> np.ndarray:
+    return (mix64(h.view(np.uint64) if h.flags.c_contiguous else h.astype(np.int64).view(np.uint64)) & np.uint64(n_bits - 1)).astype(np.int64)
+
+
+def _bits_of(opens: DataFrame) -> np.ndarray:
+    """A bitmap of the tokens in ``opens`` (h): some sixteen bits for each, at most 32 MB."""
+    n_bits = min(1 << 28, max(1 << 16, 1 << (16 * opens.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_place(batch.column(0).to_numpy(), n_bits) + 1)], names=["p"])
+
+    rows = opens.select("h").mapInArrow(run, "p long").groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    out = np.zeros(n_bits // 8, np.uint8)
+    for r in rows:
+        piece = np.frombuffer(bytes(r["m"]), np.uint8)
+        at = (r["b"] - 1) * len(piece)
+        out[at : at + len(piece)] |= piece[: len(out) - at]
+    return out
+
+
+def _first_met(batches: Iterator[pa.RecordBatch], hot: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    """Windows beside the first one of their token where they overlap by a passage, from rows (h, salt, k, s, a, c, b, f) sorted by token.
+
+    Gives (rk, rs, k, s, fs, a, b, ra, rb): the pair of areas, the function's bit, and the overlap in both.
+    """
+    last, first = None, (0, 0, 0, 0, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, salt, k, s, a, c, b, f = (x.to_numpy() for x in batch.columns)
+        new = np.concatenate(([(int(h[0]), int(salt[0])) != last], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+        at = np.flatnonzero(new)
+        firsts = [first, *zip(k[at].tolist(), s[at].tolist(), a[at].tolist(), c[at].tolist(), b[at].tolist(), strict=True)]
+        for j, token in enumerate(h[at].tolist(), 1):
+            firsts[j] = hot.get(token, firsts[j])
+        rk, rs, ra, rc, rb = np.array(firsts, np.int64)[np.cumsum(new)].T
+        last, first = (int(h[-1]), int(salt[-1])), firsts[-1]
+        left, right = np.minimum(c - a, rc - ra), np.minimum(b - c, rb - rc)
+        near = (k != rk) & (left + right + 1 >= TOKENS)
+        made = (rk, *(x.astype(np.int32) if x is not k else x for x in (rs, k, s, 1 << f, c - left, c + right, rc - left, rc + right)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in made], names=["rk", "rs", "k", "s", "fs", "a", "b", "ra", "rb"])
 
 
 def passages_of(mine: np.ndarray, other: np.ndarray, width: int = TOKENS, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Stretches of ``mine`` (token ranges, merged) whose ``width`` tokens resemble a stretch of ``other``."""
+    """Stretches of ``mine`` (token ranges, merged) whose ``width`` tokens resemble a stretch of ``other``, as multisets; at least one where there is any."""
+    need = needed(width, similarity)
     if len(mine) < width or len(other) < width:
         return []
     order = np.argsort(other, kind="stable")
-    place = np.searchsorted(other[order], mine)
-    there = place < len(other)
-    there[there] = other[order][place[there]] == mine[there]
-    at = np.full(len(mine), -1)
-    at[there] = order[place[there]]
-    need = int(np.ceil(2 * similarity * width / (1 + similarity) - 1e-9))
-    ends = np.searchsorted(other[order], mine, side="right")
+    ranked = other[order]
+    low, high = np.searchsorted(ranked, mine), np.searchsorted(ranked, mine, side="right")
+    there = high > low
     count = np.concatenate(([0], np.cumsum(there)))
     starts = np.flatnonzero(count[width:] - count[:-width] >= need)
+    if not len(starts):
+        return []
+    at = np.where(there, order[np.minimum(low, len(order) - 1)], -1)
+    # Most stretches stand in both along a few shifts.
+    shift = at - np.arange(len(mine))
+    shifts, votes = np.unique(shift[there], return_counts=True)
+    ok = np.zeros(len(starts), bool)
+    for k in np.argsort(-votes, kind="stable")[:4].tolist():
+        count = np.concatenate(([0], np.cumsum(there & (shift == shifts[k]))))
+        ok |= (count[width:] - count[:-width])[starts] >= need
+    # Others where enough different tokens stand within a stretch's length.
+    seen = np.argsort(mine, kind="stable")
+    before = np.full(len(mine), -1)
+    again = mine[seen[1:]] == mine[seen[:-1]]
+    before[seen[1:][again]] = seen[:-1][again]
+    rest = np.flatnonzero(~ok)
+    for k in range(0, len(rest), 20_000):
+        part = rest[k : k + 20_000]
+        s = starts[part]
+        spots = np.lib.stride_tricks.sliding_window_view(at, width)[s]
+        fresh = np.lib.stride_tricks.sliding_window_view(before, width)[s] < s[:, None]
+        spots = np.sort(np.where(fresh & (spots >= 0), spots, np.iinfo(np.int64).max // 2), axis=1)
+        ends, begins = spots[:, need - 1 :], spots[:, : width - need + 1]
+        ok[part] = ((ends - begins < width) & (ends < len(other))).any(axis=1)
+    if not ok.any() and (again.any() or (high - low).max() > 1):
+        for j, s in enumerate(starts.tolist()):  # tokens that stand in several places: all of them
+            tokens, where = np.unique(mine[s : s + width], return_index=True)
+            places = np.unique(np.concatenate([order[low[s + w] : high[s + w]] for w in where]))
+            inside = np.searchsorted(places, places + width) - np.arange(len(places))
+            bag = Counter(mine[s : s + width].tolist())
+            for m in places[inside >= need].tolist():
+                m = min(m, len(other) - width)
+                if sum((bag & Counter(other[m : m + width].tolist())).values()) >= need:
+                    ok[j] = True
+                    break
+            if ok[j]:
+                break
     out: list[list[int]] = []
-    for s in starts.tolist():
-        spots = at[s : s + width]
-        spots = spots[spots >= 0]
-        middle = int(np.median(spots - np.flatnonzero(at[s : s + width] >= 0)))
-        stretch = set(mine[s : s + width].tolist())
-
-        def resembles(middle: int) -> bool:
-            twin = set(other[max(0, middle) : max(0, min(len(other), middle + width))].tolist())
-            common = len(stretch & twin)
-            return common >= similarity * (len(stretch) + len(twin) - common)
-
-        if not resembles(middle):
-            # Where tokens stand in several places there, the middle of the first ones may miss the twin: try what most of them agree on.
-            if (ends[s : s + width] - place[s : s + width]).max() < 2:
-                continue
-            shifts = np.concatenate([order[place[s + k] : ends[s + k]] - k for k in range(width)])
-            shift, votes = np.unique(shifts, return_counts=True)
-            if not any(map(resembles, shift[2 * votes >= need].tolist())):
-                continue
+    for s in starts[ok].tolist():
         if out and s <= out[-1][1]:
             out[-1][1] = s + width
         else:
@@ -176,96 +353,185 @@ def passages_of(mine: np.ndarray, other: np.ndarray, width: int = TOKENS, simila
     return [(a, b) for a, b in out]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first text's tokens between ra and rb, beside each pair."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, slice) from (tokens, wanted: pairs p with their first and last token)."""
     for batch in batches:
-        raws, last, tokens = texts(batch.column("rtext")), None, np.zeros(0, np.uint64)
-        names = ["rt", "d", "t", "a", "b"]
-        made, size, start = [], 0, 0
-        for k, (raw, a, b) in enumerate(zip(raws, batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True)):
-            if raw != last:
-                tokens, last = shingles(raw), raw
-            made.append(tokens[a : b + 1].tobytes())
-            size += len(made[-1])
-            if size > BLOCK_BYTES or k == len(raws) - 1:
-                part = batch.slice(start, len(made))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(made, pa.binary())], names=[*names, "slice"])
-                made, size, start = [], 0, k + 1
+        rows, size = [], 0
+        for raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x in wanted:
+                rows.append((x["p"], raw[8 * x["a"] : 8 * x["b"] + 8]))
+                size += len(rows[-1][1])
+                if size > BLOCK_BYTES:
+                    yield _batch(rows, (pa.int64(), pa.binary()), ["p", "slice"])
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows, (pa.int64(), pa.binary()), ["p", "slice"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, u, spans) of the pairs that resemble each other, from (rk, k, a, mine, other); spans are token ranges of u's areas."""
     for batch in batches:
         rows = []
-        raws = texts(batch.column("text"))
-        for rt, t, raw, a, b, blob in zip(batch.column("rt").to_pylist(), batch.column("t").to_pylist(), raws, batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("slice").to_pylist(), strict=True):
-            found = passages_of(shingles(raw)[a : b + 1], np.frombuffer(blob, np.uint64))
+        for rk, k, a, mine, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = passages_of(np.frombuffer(mine, np.uint64), np.frombuffer(other, np.uint64))
             if found:
-                rows.append((rt, t, [f"{a + x}-{a + y + 4}" for x, y in found]))
-        yield _batch(rows, (pa.int64(), pa.int64(), pa.list_(pa.string())), ["v", "u", "spans"])
-
-
-def _links(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(v, u, spans) of the verified pairs of texts among windows (d, t, f, a, c, b) and the earlier ones they meet (r)."""
-    # Aligned at the least token, the windows have to share a passage's length.
-    left, right = F.least(F.col("c") - F.col("a"), F.col("r.c") - F.col("r.a")), F.least(F.col("b") - F.col("c"), F.col("r.b") - F.col("r.c"))
-    near = met.where(left + right + 1 >= TOKENS).groupBy(F.col("r.d").alias("rd"), F.col("r.t").alias("rt"), "d", "t")
-    agreed = near.agg(
-        F.bit_or(F.expr("shiftleft(1, f)")).alias("fs"),
-        F.min(F.col("c") - left).alias("a"), F.max(F.col("c") + right).alias("b"),
-        F.min(F.col("r.c") - left).alias("ra"), F.max(F.col("r.c") + right).alias("rb"),
-    )
-    pairs = checkpointed(agreed.where(F.bit_count("fs") >= AGREE).drop("fs"))
-    reps = pairs.select(F.col("rd").alias("__d"), F.col("rt").alias("__t")).distinct().withColumn("blobs", F.lit(None).cast("string"))
-    rep_texts = _chosen(docs, reps, doc_id, text).dropDuplicates(["__d", "__t"]).select(F.col("__t").alias("rt"), F.col("__text").alias("rtext"))
-    sliced = pairs.join(rep_texts, "rt").mapInArrow(_slices, "rt long, d long, t long, a int, b int, slice binary")
-    mine = pairs.select(F.col("d").alias("__d"), F.col("t").alias("__t")).distinct().withColumn("blobs", F.lit(None).cast("string"))
-    my_texts = _chosen(docs, mine, doc_id, text).dropDuplicates(["__d", "__t"]).select(F.col("__t").alias("t"), F.col("__text").alias("text"))
-    with small_batches(docs.sparkSession):
-        return checkpointed(sliced.join(my_texts, "t").mapInArrow(_verified, "v long, u long, spans array<string>"))
+                rows.append((rk, k, [[a + x, a + y] for x, y in found]))
+        yield _batch(rows, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))), ["v", "u", "spans"])
+
+
+def _sliced(pairs: DataFrame, key: str, low: str, high: str, held: DataFrame, salted: bool) -> DataFrame:
+    """(p, slice) of every pair: tokens ``low`` to ``high`` of the text in ``key``."""
+    salt = F.pmod(F.xxhash64("p"), F.lit(SALTS)) if salted else F.lit(0).cast("long")
+    lists = pairs.groupBy(F.col(key).alias("k"), salt.alias("salt")).agg(F.collect_list(F.struct("p", F.col(low).alias("a"), F.col(high).alias("b"))).alias("wanted"))
+    return held.select("k", "tokens").join(lists, "k").select("tokens", "wanted").mapInArrow(_cut, "p long, slice binary")
+
+
+def _star_links(held: DataFrame) -> DataFrame:
+    """(v, u, spans) of verified pairs of texts, each window beside the first one of its token."""
+    windows = held.select("k", "windows").mapInArrow(lambda batches: _exploded(batches, "hfsacb"), "k long, h long, f int, s int, a int, c int, b int")
+    heavy = windows.agg(F.expr(f"approx_top_k(h, {HOT_TOKENS}, 16384)").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    most = max(HOT_WINDOWS, (heavy["n"] or 0) // HOT_TOKENS)
+    tokens = [x["item"] for x in heavy["top"] or [] if x["count"] > most]
+    salt, hot = F.lit(0).cast("long"), {}
+    if tokens:
+        # At most HOT_TOKENS tokens can have more than that share of all windows.
+        is_hot = F.col("h").isin(tokens)
+        salt = F.when(is_hot, F.pmod(F.xxhash64("k", "c"), F.lit(SALTS))).otherwise(0)
+        hot = {r["h"]: tuple(r["r"]) for r in windows.where(is_hot).groupBy("h").agg(F.min(F.struct("k", "s", "a", "c", "b")).alias("r")).collect()}
+    dealt = windows.withColumn("salt", salt).select("h", "salt", "k", "s", "a", "c", "b", "f").repartition("h", "salt").sortWithinPartitions("h", "salt", "k", "s", "c")
+    met = dealt.mapInArrow(lambda batches: _first_met(batches, hot), "rk long, rs int, k long, s int, fs int, a int, b int, ra int, rb int")
+    agreed = met.groupBy("rk", "rs", "k", "s").agg(F.bit_or("fs").alias("fs"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("ra").alias("ra"), F.max("rb").alias("rb"))
+    pairs = checkpointed(agreed.where(F.bit_count("fs") >= AGREE).drop("fs").withColumn("p", F.monotonically_increasing_id()))
+    mine = _sliced(pairs, "k", "a", "b", held, False).withColumnRenamed("slice", "mine")
+    other = _sliced(pairs, "rk", "ra", "rb", held, True).withColumnRenamed("slice", "other")
+    both = pairs.select("p", "rk", "k", "a").join(mine, "p").join(other, "p").select("rk", "k", "a", "mine", "other")
+    return checkpointed(both.mapInArrow(_verified, "v long, u long, spans array<array<int>>"))
+
+
+def _surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root, node, low, around): open windows with the tokens around them, from (k, tokens, wanted)."""
+    for batch in batches:
+        rows, size = [], 0
+        for k, raw, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low, high = _reach(*(np.array([x[n] for x in wanted], np.int64) for n in "acb"))
+            for x, a, b in zip(wanted, low.tolist(), high.tolist(), strict=True):
+                rows.append((x["h"], x["root"], k, a, raw[8 * a : 8 * b + 8]))
+                size += len(rows[-1][4])
+                if size > BLOCK_BYTES:
+                    yield _batch(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), ["key", "root", "node", "low", "around"])
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), ["key", "root", "node", "low", "around"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (v, u, spans) between different classes of a cell, from rows (key, cell, root, node, low, around) sorted by cell."""
+    need = needed()
+    for cell in by_cell(batches, 2):
+        root, node, low = (cell.column(n).to_numpy() for n in ("root", "node", "low"))
+        around = [np.frombuffer(x, np.uint64) for x in cell.column("around").to_pylist()]
+        single = [np.unique(x, return_counts=True) for x in around]
+        # Repeated tokens count as often as they stand.
+        bags = [np.concatenate([mix64(u[n > j] + np.uint64(j)) for j in range(int(n.max(initial=0)))]) if len(u) else u for u, n in single]
+        n = len(bags)
+        common = common_counts(np.concatenate(bags), np.repeat(np.arange(n), list(map(len, bags))), n)
+        i, j = np.nonzero(np.triu((common >= need - 0.5) & (root[:, None] != root[None, :]), 1))
+        merged = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while merged[r] != r:
+                merged[r] = merged[merged[r]]
+                r = merged[r]
+            return r
+
+        rows = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = top(int(root[x])), top(int(root[y]))
+            if a == b:
+                continue
+            v, u = (x, y) if node[x] < node[y] else (y, x)
+            found = passages_of(around[u], around[v])
+            if found:
+                merged[a] = b
+                rows.append((int(node[v]), int(node[u]), [[int(low[u]) + s, int(low[u]) + e] for s, e in found]))
+        yield _batch(rows, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))), ["v", "u", "spans"])
+
+
+def _open_links(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between texts of different classes (k, root) whose windows share a token."""
+    rooted = held.select("k", "windows").join(roots, "k", "left").select("k", "windows", F.coalesce("root", "k").alias("root"))
+    every = rooted.mapInArrow(lambda batches: _exploded(batches, "h", root=True), "k long, h long, root long")
+    opens = checkpointed(every.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"))
+    bits = held.sparkSession.sparkContext.broadcast(_bits_of(opens))
+    chosen = rooted.mapInArrow(lambda batches: _exploded(batches, "hxacb", bits, True), "k long, h long, x long, a int, c int, b int, root long").join(opens, "h", "left_semi")
+    # One window for each surroundings of a class.
+    single = chosen.groupBy("h", "root", "x").agg(F.min(F.struct("k", "a", "c", "b")).alias("w"))
+    lists = single.groupBy(F.col("w.k").alias("k")).agg(F.collect_list(F.struct("h", "root", "w.a", "w.c", "w.b")).alias("wanted"))
+    around = held.select("k", "tokens").join(lists, "k").select("k", "tokens", "wanted").mapInArrow(_surrounded, "key long, root long, node long, low int, around binary")
+    around = checkpointed(around)
+    dealt = cells(around.withColumn("size", F.lit(TOKENS).cast("long")).withColumn("id", F.xxhash64("around", "node", "low")), CELL_WINDOWS, CELL_WINDOWS * TOKENS * 2, "id", 2)
+    dealt = dealt.select("key", "cell", "root", "node", "low", "around").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return checkpointed(dealt.mapInArrow(_settled, "v long, u long, spans array<array<int>>"))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, spans) as word ranges of the text, from (k, places, spans)."""
+    for batch in batches:
+        rows = []
+        for k, raw, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            places = np.frombuffer(raw, np.int64).reshape(-1, 2)
+            merged: list[list[int]] = []
+            for a, b in sorted(map(tuple, spans)):
+                area = int(np.searchsorted(places[:, 0], a, side="right")) - 1
+                by = int(places[area, 1] - places[area, 0])
+                if merged and a + by <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b + by)
+                else:
+                    merged.append([a + by, b + by])
+            rows.append((k, ",".join(f"{a}-{b + 4}" for a, b in merged)))
+        yield _batch(rows, (pa.int64(), pa.string()), ["k", "spans"])
 
 
 def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, class_size, n_links, and spans (word ranges, ends excluded, that an earlier text resembles)."""
-    column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    slim = checkpointed(docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(column).alias("t"), F.octet_length(column).cast("long").alias("n")))
-    firsts = checkpointed(slim.groupBy("t").agg(F.min("d").alias("d"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    """One row for each row of ``docs``: doc_id, class_id, class_size, and spans (word ranges, ends excluded, that verified links cover)."""
+    content = F.coalesce(column(text), F.lit(""))
+    long_enough = F.coalesce(F.regexp_count(content, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) >= TOKENS + 4
+    id_ = column(doc_id).cast("long")
+    slim = checkpointed(
+        docs.select(
+            F.coalesce(id_, F.lit(NULL_ID)).alias("d"), id_.alias("doc_id"), F.xxhash64(content).alias("t"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("sha"),
+            F.octet_length(content).cast("long").alias("n"), long_enough.alias("long_enough"),
+        )
+    )
+    firsts = checkpointed(slim.groupBy("sha", "t").agg(F.min("d").alias("d"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     total = firsts.agg(F.sum("n")).first()[0] or 0
     n_shards = max(8, -(-total // SHARD_BYTES))
-    keyed = docs.select(F.xxhash64(column).alias("t"), column.alias("text"))
-    blobs = keyed.mapInArrow(lambda batches: _first_windows(batches, n_shards), "shard long, h binary, t binary, p binary")
-    marks = blobs.groupBy("shard").applyInArrow(_repeated, "t long, p binary").groupBy(F.col("t").alias("__t")).agg(F.collect_list("p").alias("blobs"))
-    wanted = checkpointed(marks.join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t").select("__d", "__t", "blobs"))
-    windows = written(_chosen(docs, wanted, doc_id, text).mapInArrow(_windows, "h long, d long, t long, f int, a int, c int, b int"))
-    shared = windows.groupBy("h").agg(F.min(F.struct("d", "t", "c", "a", "b")).alias("r"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    links = _links(docs, windows.join(shared, "h").where("t <> r.t"), doc_id, text)
-    # What the first text leaves open: windows of texts in different classes, and windows that no verified span covers.
-    roots = components(links.select("u", "v"))
-    covered = links.select(F.col("u").alias("t"), F.explode("spans").alias("s")).select("t", F.split("s", "-").alias("s")).groupBy("t").agg(F.collect_set(F.struct(F.col("s")[0].cast("int").alias("x"), (F.col("s")[1].cast("int") - 4).alias("y"))).alias("covered"))
-    reach = F.greatest(F.col("a"), F.col("c") - TOKENS + 1), F.least(F.col("b"), F.col("c") + TOKENS - 1)
-    done = F.coalesce(F.exists("covered", lambda s: (s["x"] <= reach[0]) & (reach[1] < s["y"])), F.lit(False))
-    known = windows.join(shared.select("h"), "h").join(roots.withColumnRenamed("node", "t"), "t", "left").join(covered, "t", "left")
-    state = written(known.select("h", "d", "t", "f", "a", "c", "b", F.coalesce("root", "t").alias("root"), done.alias("done")))
-    groups = state.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("d", "t")).alias("e"), F.max(F.when(~F.col("done"), F.struct("d", "t"))).alias("l"))
-    rest = state.join(groups.where("lo <> hi OR l > e").select("h"), "h")
-    earlier = rest.select("h", F.struct("d", "t", "c", "a", "b").alias("r"), F.col("root").alias("rroot"))
-    open_ = (F.col("t") != F.col("r.t")) & (F.struct("r.d", "r.t") < F.struct("d", "t")) & ((F.col("root") != F.col("rroot")) | ~F.col("done"))
-    more = _links(docs, rest.join(earlier, "h").where(open_), doc_id, text)
-    links = checkpointed(links.unionAll(more).groupBy("v", "u").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    roots = components(links.select("u", "v"))
-    ends = links.select(F.col("u").alias("t")).unionAll(links.select(F.col("v").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n_links"))
-    spans = links.groupBy(F.col("u").alias("t")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    named = firsts.join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    classes = named.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_text = named.join(classes, "root").join(ends, "t", "left").join(spans, "t", "left").select("t", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), "spans")
-    # A text without a passage, and no link, is a class of its own for each row.
-    passage = F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) >= TOKENS + 4
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(column).alias("t"), passage.alias("long_enough"))
-    found = rows.join(of_text, "t")
-    own = F.col("long_enough") | (F.col("n_links") > 0)
-    return found.select(
+    keyed = docs.select(F.xxhash64(content).alias("t"), content.alias("text"))
+    blobs = keyed.mapInArrow(lambda batches: _tokens(batches, n_shards), "shard long, v binary, t binary, n binary")
+    marks = blobs.groupBy("shard").applyInArrow(_shared, "t long, p binary, again boolean").groupBy(F.col("t").alias("__t"))
+    marks = marks.agg(F.collect_list("p").alias("blobs"), F.sum(F.length("p")).alias("size"), F.max("again").alias("again"))
+    wanted = marks.where((F.col("size") >= 4 * needed()) | F.col("again")).join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t")
+    wanted = checkpointed(wanted.select("__d", "__t", "blobs"))
+    with small_batches(docs.sparkSession):
+        chosen = _chosen(docs, wanted, doc_id, text).dropDuplicates(["__d", "__t"])
+        found = chosen.mapInArrow(_areas, "d long, t long, tokens binary, places binary, windows binary")
+        held = written(found.withColumn("k", F.monotonically_increasing_id()))
+        links = _star_links(held)
+        roots = components(links.select("u", "v")).select(F.col("node").alias("k"), "root")
+        links = links.unionAll(_open_links(held, roots))
+    roots = components(links.select("u", "v")).select(F.col("node").alias("k"), "root")
+    of_links = links.select(F.col("u").alias("k"), F.explode("spans").alias("span")).groupBy("k").agg(F.collect_list("span").alias("spans"))
+    spans = held.select("k", "places").join(of_links, "k").mapInArrow(_spans, "k long, spans string")
+    texts_ = held.select("k", "d", "t").join(roots, "k", "left").join(spans, "k", "left").select("d", "t", F.coalesce("root", "k").alias("root"), "spans")
+    named = firsts.join(texts_, ["d", "t"], "left")
+    classes = named.where("root IS NOT NULL").groupBy("root").agg(F.min("d").alias("class_id"), F.sum("copies").alias("class_size"))
+    # A text without areas is alone in its class, with its copies.
+    alone = named.where("root IS NULL").select("sha", F.col("d").alias("class_id"), F.col("copies").alias("class_size"), "spans")
+    of_text = named.join(classes, "root").select("sha", "class_id", "class_size", "spans").unionAll(alone)
+    own = F.col("long_enough")
+    return slim.join(of_text, "sha").select(
         "doc_id",
         F.when(own, F.nullif("class_id", F.lit(NULL_ID))).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(own, F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"),
-        F.col("n_links").cast("long").alias("n_links"),
-        F.coalesce(F.array_join("spans", ","), F.lit("")).alias("spans"),
+        F.coalesce("spans", F.lit("")).alias("spans"),
     )
