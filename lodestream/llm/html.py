@@ -2,19 +2,26 @@
 
 A page is cut into blocks at block-level elements. The first pass classifies each block by its length, the density of
 stop words and of linked characters; what stands in menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments is out at once. Blocks that the rules can't decide are ambiguous: in the second pass they inherit the
-label of their nearest decided neighbours (the preceding and the following one; where these differ, the nearer in
-characters, and the preceding one on a tie). An article or main element, where the page has one, bounds what may be kept.
+reader comments is out at once. Where a page has hardly any stop word of the known lists, its language has no list here,
+and length and link density decide alone. Blocks that the rules can't decide are ambiguous: in the second pass they
+inherit the label of their nearest decided neighbours (the preceding and the following one; where these differ, the
+nearer in characters, and the preceding one on a tie). On a page without any good block the ambiguous ones are its text.
+An article or main element, where the page has one, bounds what may be kept.
 
-The step is narrow and Python on Arrow batches; a page's memory is a small multiple of its size.
+The step is narrow and Python on Arrow batches. A page is read once, in time and memory proportional to its size,
+however deep its elements are nested.
 
-Defined results: null or empty html gives an empty text and 0 characters; repeated rows each give their own result.
+Defined results: null or empty html gives an empty text and 0 characters; repeated rows each give their own result; an
+empty table gives an empty table; a page of any length is read whole; a tag that never ends runs to the page's end, an
+attribute's quote that never ends doesn't open. White space is what Unicode calls so; the separators U+001C to U+001F
+aren't. Other columns, whatever their names, aren't touched.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -51,12 +58,19 @@ STOP_WORDS = {
     "nl": "aan als bij dat de deze die door een en er het hij ik in is je maar met naar niet nog of om onder ook op over te tot uit van voor was wat we wordt zich zijn",
 }
 _STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws.split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Separators that str.split takes for white space and Unicode doesn't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Scripts that say in one character what takes others about three.
+_DENSE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _HIDDEN, _AROUND, _BLOCKS, _VOID, _BOILERPLATE = map(frozenset, (HIDDEN, AROUND, BLOCKS, VOID, BOILERPLATE))
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "title", "textarea", "select", "button", "audio", "video", "datalist")}
+#: Of these, the ones whose content is raw text to the page's end where they never end.
+_RAW = frozenset(["script", "style", "textarea", "title", "iframe", "noscript"])
 #: An open paragraph, item or cell ends where one of these begins.
 _CLOSES = {"p": _BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
@@ -68,6 +82,8 @@ class Rules:
     few_stop_words: float = 0.15
     many_stop_words: float = 0.30
     link_density: float = 0.35
+    #: A page with a smaller share of stop words is in a language without a list.
+    no_list: float = 0.05
 
 
 @dataclass
@@ -76,9 +92,46 @@ class Block:
     linked: int = 0
     outside: bool = False
     article: bool = False
-    heading: bool = False
     text: str = ""
 
+    def words(self) -> list[str]:
+        return [w.lower() for w in _WORD.findall(self.text)]
+
+
+def squeezed(text: str) -> str:
+    """``text`` with one space for each run of white space, trimmed."""
+    if _SEPARATORS.search(text):
+        return _SPACE.sub(" ", text).strip(" ")
+    return " ".join(text.split())
+
+
+class Elements:
+    """The open elements, and how many of them there are by name, outside the text, and of the article."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, bool]] = []
+        self.names: Counter[str] = Counter()
+        self.outside = self.article = 0
+
+    def push(self, name: str, outside: bool, article: bool) -> None:
+        self.open.append((name, outside, article))
+        self.names[name] += 1
+        self.outside += outside
+        self.article += article
+
+    def pop(self) -> str:
+        name, outside, article = self.open.pop()
+        self.names[name] -= 1
+        self.outside -= outside
+        self.article -= article
+        return name
+
+    def close(self, name: str) -> None:
+        """Up to the innermost element of this name, where there is one."""
+        if self.names[name]:
+            while self.pop() != name:
+                pass
+
 
 def _boilerplate(attributes: str) -> bool:
     if "=" not in attributes:
@@ -93,16 +146,16 @@ def _boilerplate(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of text, in page order."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # (element, outside, article)
+    elements = Elements()
     links, block, breaks = 0, Block(), 0
+    endless: set[str] = set()  # elements that have no end tag further on
 
     def end() -> None:
         nonlocal block
-        block.text = " ".join(html.unescape("".join(block.parts)).split())
+        block.text = squeezed(html.unescape("".join(block.parts)))
         if block.text:
             out.append(block)
-        outside = any(o for _, o, _ in open_)
-        block = Block(outside=outside, article=any(a for *_, a in open_), heading=any(re.fullmatch("h[1-6]", n) for n, *_ in open_))
+        block = Block(outside=elements.outside > 0, article=elements.article > 0)
 
     def say(text: str) -> None:
         nonlocal breaks
@@ -126,15 +179,17 @@ def blocks(page: str) -> list[Block]:
         if m[1]:  # an end tag
             if name == "a":
                 links = max(0, links - 1)
-            if any(x == name for x, *_ in open_):
-                while open_.pop()[0] != name:
-                    pass
+            elements.close(name)
             if name in _BLOCKS or name in _HIDDEN:
                 end()
             continue
         if name in _RAW_END:
-            stop = _RAW_END[name].search(page, at)
-            at = stop.end() if stop else n
+            stop = None if name in endless else _RAW_END[name].search(page, at)
+            if stop:
+                at = stop.end()
+            else:
+                endless.add(name)
+                at = n if name in _RAW else at
             continue
         if name == "br":
             say(" ")
@@ -149,31 +204,42 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links += 1
             continue
-        if name in _BLOCKS or name in _HIDDEN or _boilerplate(m[3]):
-            if open_ and name in _CLOSES.get(open_[-1][0], ()):
-                open_.pop()
-            outside = name in _HIDDEN or (name in _AROUND and not (name == "header" and any(a for *_, a in open_))) or (_boilerplate(m[3]) and name not in ("html", "body", "article", "main"))
+        around = _boilerplate(m[3])
+        if name in _BLOCKS or name in _HIDDEN or around:
+            if elements.open and name in _CLOSES.get(elements.open[-1][0], ()):
+                elements.pop()
+            outside = name in _HIDDEN or (name in _AROUND and not (name == "header" and elements.article)) or (around and name not in ("html", "body", "article", "main"))
             if not m[3].endswith("/"):
-                open_.append((name, outside, name in ("article", "main")))
+                elements.push(name, outside, name in ("article", "main"))
             links = 0
             end()
     end()
     return out
 
 
-def classify(block: Block, rules: Rules = Rules()) -> str:
-    """First pass: good, bad or ambiguous."""
-    if block.outside:
+def link_dense(block: Block, rules: Rules) -> bool:
+    return block.linked > rules.link_density * max(1, len(block.text.replace(" ", "")))
+
+
+def has_list(found: list[Block], rules: Rules = Rules()) -> bool:
+    """Whether the page's own text has stop words of the known lists."""
+    words = [w for b in found if not b.outside and not link_dense(b, rules) for w in b.words()]
+    return sum(w in _STOP for w in words) >= rules.no_list * len(words)
+
+
+def classify(block: Block, rules: Rules = Rules(), listed: bool = True) -> str:
+    """First pass: good, bad or ambiguous. ``listed``: stop words of the page's language are known."""
+    if block.outside or link_dense(block, rules):
         return "bad"
     n = len(block.text)
-    if block.linked > rules.link_density * max(1, len(block.text.replace(" ", ""))):
+    if n < rules.short and "©" in block.text:
         return "bad"
-    words = [w.lower() for w in _WORD.findall(block.text)]
+    if not listed:
+        return "good" if n + 2 * len(_DENSE.findall(block.text)) >= rules.long else "ambiguous"
+    words = block.words()
     density = sum(w in _STOP for w in words) / len(words) if words else 0.0
     if n >= rules.long and density >= rules.few_stop_words or n >= rules.short and density >= rules.many_stop_words:
         return "good"
-    if n < rules.short and "©" in block.text:
-        return "bad"
     return "ambiguous"
 
 
@@ -205,12 +271,15 @@ def main_text(page: str, rules: Rules = Rules()) -> str:
     found = blocks(page)
     if any(b.article and not b.outside for b in found):
         found = [b for b in found if b.article]
-    labels = [classify(b, rules) for b in found]
-    # What is out for certain decides about itself alone; undecided blocks look past it, inside an article.
-    decided = [k for k, b in enumerate(found) if not b.outside]
-    bounded = any(b.article for b in found)
-    inner = inherit([labels[k] for k in decided], [len(found[k].text) for k in decided], "good" if bounded else "bad")
-    return "\n".join(found[k].text for k, label in zip(decided, inner, strict=True) if label == "good")
+    # What is out for certain decides about itself alone; undecided blocks look past it.
+    inside = [b for b in found if not b.outside]
+    listed = has_list(inside, rules)
+    labels = [classify(b, rules, listed) for b in inside]
+    if "good" in labels:
+        labels = inherit(labels, [len(b.text) for b in inside], "good")
+    else:
+        labels = ["good" if x == "ambiguous" else x for x in labels]
+    return "\n".join(b.text for b, label in zip(inside, labels, strict=True) if label == "good")
 
 
 def with_main_text(pages: DataFrame, keep: list[str], source: str = "html", prefix: str = "", rules: Rules = Rules()) -> DataFrame:
