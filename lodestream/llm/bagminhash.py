@@ -30,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, free_name, mix64, small_batches, texts
+from .common import POWERS, SPACES, checkpointed, column, free_name, mix64, small_batches, texts
 from .components import components
 
 SHINGLE = 5
@@ -51,29 +50,35 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
 
 
-class _WordHashes(dict):
-    LIMIT = 500_000
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES)] = True
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
 
-
-_WORDS = _WordHashes()
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from prefix sums of a polynomial over the bytes."""
+    if not raw:
+        return np.zeros(0, np.uint64)
+    buffer = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(buffer) + 2, bool)
+    space[1:-1] = _IS_SPACE[buffer]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = POWERS.upto(len(buffer) + 1)
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum(_BYTES[buffer] * down[:-1], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
     """The 64-bit hashes of a text's shingles, in order."""
-    words = raw.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
-    n = max(1, len(words) - size + 1)
+    hashes = word_hashes(raw)
+    if not len(hashes):
+        return hashes
+    n = max(1, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(size, len(words))):
-        out += mix64(hashes[k : k + n] * _POWERS[k % SHINGLE] + np.uint64(k))
+    for k in range(min(size, len(hashes))):
+        out += hashes[k : k + n] * _POWERS[k % SHINGLE]
     return mix64(out)
 
 
@@ -259,44 +264,59 @@ def cells(rooted: DataFrame, nodes_of: int | None = None, shingles_of: int | Non
     return held.select(*rooted.columns, F.explode(made).alias("cell"))
 
 
-def common_counts(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """How many elements each two of ``n`` sets share."""
+def common_counts(elements: np.ndarray, owner: np.ndarray, n: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """How many elements each of the sets ``rows`` (all by default) shares with each of ``n`` sets; with itself, any number."""
+    rows = np.arange(n) if rows is None else rows
+    line = np.full(n, -1)
+    line[rows] = np.arange(len(rows))
     order = np.argsort(elements, kind="stable")
     elements, owner = elements[order], owner[order]
     edges = np.flatnonzero(np.concatenate(([True], elements[1:] != elements[:-1]))) if len(elements) else np.zeros(0, np.int64)
     df = np.diff(np.concatenate((edges, [len(elements)])))
-    flat = np.zeros(n * n, np.int64)
-    for d in range(2, 9):  # what few sets share adds to each of their pairs
-        of = owner[edges[df == d][:, None] + np.arange(d)]
+    wanted = np.add.reduceat(line[owner] >= 0, edges) > 0 if len(edges) else np.zeros(0, bool)
+    places = [np.zeros(0, np.int64)]
+    for d in range(2, 5):  # what few sets share adds to each of their pairs
+        of = owner[edges[(df == d) & wanted][:, None] + np.arange(d)]
         for a in range(d):
-            for b in range(a + 1, d):
-                flat += np.bincount(of[:, a] * n + of[:, b], minlength=n * n)
-    out = flat.reshape(n, n).astype(np.float32)
-    out += out.T
-    many = np.flatnonzero(df > 8)
+            for b in range(d):
+                if a != b:
+                    held = line[of[:, a]] >= 0
+                    places.append(line[of[held, a]] * n + of[held, b])
+    out = np.bincount(np.concatenate(places), minlength=len(rows) * n).reshape(len(rows), n).astype(np.float32)
+    many = np.flatnonzero((df > 4) & wanted)
     step = max(1, 16_000_000 // max(1, n))
     for k in range(0, len(many), step):  # what many share is a product of 0/1 matrices
         part = many[k : k + step]
-        of = np.concatenate([owner[edges[t] : edges[t] + df[t]] for t in part])
+        of = np.repeat(edges[part] - np.concatenate(([0], np.cumsum(df[part])[:-1])), df[part]) + np.arange(df[part].sum())
         dense = np.zeros((n, len(part)), np.float32)
-        dense[of, np.repeat(np.arange(len(part)), df[part])] = 1
-        out += dense @ dense.T
+        dense[owner[of], np.repeat(np.arange(len(part)), df[part])] = 1
+        out += dense[rows] @ dense.T
     return out
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a symmetric 0/1 matrix that connect what it connects."""
-    seen, out = np.zeros(len(linked), bool), []
-    for start in np.flatnonzero(linked.any(axis=1)).tolist():
-        if seen[start]:
-            continue
-        seen[start], stack = True, [start]
-        while stack:
-            at = stack.pop()
-            new = np.flatnonzero(linked[at] & ~seen).tolist()
-            seen[new] = True
-            out += [(at, x) for x in new]
-            stack += new
+def outside_largest(root: np.ndarray) -> np.ndarray:
+    """The members that aren't of the largest component."""
+    return np.flatnonzero(root != np.bincount(root).argmax())
+
+
+def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Of links (a, b) between members those that connect components (root) that no earlier one connects."""
+    top = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    # Between two components one link is enough.
+    _, first = np.unique(np.stack((root[a], root[b])), axis=1, return_index=True)
+    out = []
+    for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y:
+            top[x] = y
+            out.append((i, j))
     return out
 
 
@@ -327,11 +347,13 @@ def _settled(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         bags = cell.column("bag").combine_chunks()
         sizes = np.diff(bags.offsets.to_numpy())
         n = len(nodes)
-        common = common_counts(bags.flatten().to_numpy(), np.repeat(np.arange(n), sizes), n)
         known: dict[bytes, int] = {}
         root = np.array([known.setdefault(r, len(known)) for r in roots])
-        linked = (common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6) & (root[:, None] != root[None, :])
-        found = forest(linked)
+        rest = outside_largest(root)
+        common = common_counts(bags.flatten().to_numpy(), np.repeat(np.arange(n), sizes), n, rest)
+        near = (common >= similarity * (sizes[rest, None] + sizes[None, :] - common) - 1e-6) & (root[rest, None] != root[None, :])
+        i, j = np.nonzero(near)
+        found = forest(rest[i], j, root)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], names=["u", "v"])
 

@@ -35,28 +35,40 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def _shared_folder(spark: SparkSession) -> None:
-    """Name the checkpoint folder: the session's ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lodestream-checkpoint-")
-        context.setCheckpointDir(folder)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a session in one process without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestream-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Name the checkpoint folder where the session hasn't."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote into the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, so that lost executors cost no recomputation."""
-    _shared_folder(df.sparkSession)
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, but as a Parquet table there: a fraction of the size, for many slim rows."""
     spark = df.sparkSession
-    _shared_folder(spark)
+    _checkpoint_folder(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
@@ -122,6 +134,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_B = 0xD6E8FEB86659FD93
+
+
+class Powers:
+    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            made = []
+            for base in (_B, pow(_B, -1, 1 << 64)):
+                x = np.full(size, np.uint64(base))
+                x[0] = 1
+                made.append(np.multiply.accumulate(x))
+            self.up, self.down = made
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file, from the folder in LODESTREAM_TOKENIZERS or the installed package."""
     folder = os.environ.get("LODESTREAM_TOKENIZERS")

@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bagminhash import by_cell, cells, common_counts, shingles
-from .common import checkpointed, column, mix64, small_batches, texts, written
+from .bagminhash import by_cell, cells, common_counts, members, outside_largest, shingles
+from .common import POWERS, checkpointed, column, mix64, small_batches, texts, written
 from .components import components
-from .suffixes import _POWERS, _batch, _chosen, _joined, _split
+from .suffixes import _batch, _chosen, _joined, _split
 
 TOKENS = 46
 SIMILARITY = 0.8
@@ -62,19 +62,21 @@ def token_hashes(tokens: np.ndarray, function: int) -> np.ndarray:
     return mix64(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (function + 1) % 2**64))
 
 
-def compact_windows(hashes: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(hashes: np.ndarray, width: int = TOKENS, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, least, last) of every Cartesian-tree node of ``width`` tokens or more; the leftmost of equals is least.
 
     A token is such a node just where it is least in some stretch of ``width`` tokens. Within ``width`` of it, its
     bounds follow from the stretches it leads; further off, the next smaller token is a node itself, so a stack over
-    the nodes finds it.
+    the nodes finds it. Places ``between`` separate texts: no window holds one.
     """
     n = len(hashes)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    # Half of the hash and the place in one number: the least is the leftmost of equals.
+    # Half of the hash and the place in one number: the least is the leftmost of equals, and a place between is less than any token.
     packed = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
-    packed[:n] = hashes >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    packed[:n] = (hashes >> np.uint64(32) | np.uint64(1)) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    if between is not None:
+        packed[between] = between.astype(np.uint64)
     rows = packed.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
@@ -97,6 +99,9 @@ def compact_windows(hashes: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray
     open_right = at == stop
     first[open_left] = np.array(smaller_before)[open_left] + 1
     last[open_right] = np.array(smaller_after)[open_right] - 1
+    if between is not None:
+        tokens = packed[at] >> np.uint64(32) > 0
+        first, at, last = first[tokens], at[tokens], last[tokens]
     return first, at, last
 
 
@@ -142,23 +147,45 @@ def _tokens(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.Rec
             yield flush(parts)
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a shard's marks those that two different texts have, by text, and whether it repeats tokens."""
+def _shared(key: tuple, table: pa.Table, n_shards: int) -> pa.Table:
+    """Of a shard's marks those that two different texts have, as blobs by shard of the texts."""
     v, t, n = _joined(table["v"], np.uint32), _joined(table["t"], np.int64), _joined(table["n"], np.uint32)
-    again = (n >> np.uint32(31)).astype(bool).tolist()
+    again = n >> np.uint32(31) > 0
     owner = np.repeat(np.arange(len(t)), n & np.uint32(2**31 - 1))
-    order = np.argsort(v, kind="stable")
-    same = v[order[1:]] == v[order[:-1]]
+    packed = np.sort(v.astype(np.uint64) << np.uint64(32) | np.arange(len(v), dtype=np.uint64))
+    order = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same = packed[1:] >> np.uint64(32) == packed[:-1] >> np.uint64(32)
     of = np.concatenate(([0], np.cumsum(~same))) if len(v) else np.zeros(0, np.int64)
-    apart = t[owner[order[1:]]] != t[owner[order[:-1]]]
+    by = t[owner[order]]
     several = np.zeros(len(v) + 1, bool)
-    several[of[1:][same & apart]] = True
+    several[of[1:][same & (by[1:] != by[:-1])]] = True
     hit = np.sort(order[several[of]])
     owners, counts = np.unique(owner[hit], return_counts=True)
     ends = np.concatenate(([0], np.cumsum(counts)))
-    marks = v[hit]
-    rows = [(int(t[o]), marks[a:b].tobytes(), again[o]) for o, a, b in zip(owners.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.binary(), pa.bool_()), ["t", "p", "again"])])
+    marks, found, flags = v[hit], t[owners], again[owners].astype(np.uint32) << np.uint32(31)
+    by_text, cuts = _split((found.view(np.uint64) % np.uint64(n_shards)).astype(np.int64))
+    rows = []
+    for shard, a, b in cuts:
+        at = by_text[a:b]
+        rows.append((shard, b"".join([marks[x:y].tobytes() for x, y in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]), found[at].tobytes(), (counts[at].astype(np.uint32) | flags[at]).tobytes()))
+    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "v", "t", "n"])])
+
+
+def _by_text(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a shard of texts those that have enough shared marks, or repeat tokens, and their marks."""
+    v, t, n = _joined(table["v"], np.uint32), _joined(table["t"], np.int64), _joined(table["n"], np.uint32)
+    again, n = n >> np.uint32(31) > 0, (n & np.uint32(2**31 - 1)).astype(np.int64)
+    texts_, of = np.unique(t, return_inverse=True)
+    of = of.reshape(-1)
+    enough = (np.bincount(of, n, len(texts_)) >= needed()) | (np.bincount(of, again, len(texts_)) > 0)
+    order = np.argsort(of, kind="stable")
+    starts = np.cumsum(n) - n
+    edges = np.searchsorted(of[order], np.arange(len(texts_) + 1))
+    rows = []
+    for k in np.flatnonzero(enough).tolist():
+        parts = order[edges[k] : edges[k + 1]].tolist()
+        rows.append((int(texts_[k]), [b"".join([v[starts[p] : starts[p] + n[p]].tobytes() for p in parts])]))
+    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.list_(pa.binary())), ["__t", "blobs"])])
 
 
 def areas(shared: np.ndarray, width: int = TOKENS, need: int | None = None) -> list[tuple[int, int]]:
@@ -183,44 +210,65 @@ def _reach(first: np.ndarray, least: np.ndarray, last: np.ndarray) -> tuple[np.n
     return np.maximum(first, least - TOKENS + 1), np.minimum(last, least + TOKENS - 1)
 
 
-def windows_of(tokens: np.ndarray, area: int, start: int) -> list[np.ndarray]:
-    """The windows of one area, whose tokens stand from ``start`` on among those of all areas of the text."""
-    up, down = _POWERS.upto(len(tokens) + 1)
+def _windows(tokens: np.ndarray, between: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of areas that lie end to end, each with a place between them after it; and which area each is of."""
+    up, down = POWERS.upto(len(tokens) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * down[: len(tokens)])))
     out = []
     for f in range(FUNCTIONS):
         hashes = token_hashes(tokens, f)
-        first, least, last = compact_windows(hashes)
+        first, least, last = compact_windows(hashes, TOKENS, between)
         low, high = _reach(first, least, last)
         made = np.empty(len(least), WINDOW)
         made["h"] = hashes[least].view(np.int64)
         made["x"] = mix64((sums[high + 1] - sums[low]) * up[low] + ((least - low) * 64 + (high - least)).astype(np.uint64)).view(np.int64)
-        made["f"], made["s"], made["a"], made["c"], made["b"] = f, area, first + start, least + start, last + start
+        made["f"], made["a"], made["c"], made["b"] = f, first, least, last
         out.append(made)
-    return out
+    every = np.concatenate(out)
+    area = np.searchsorted(starts, every["c"], side="right") - 1
+    order = np.argsort(area, kind="stable")
+    return every[order], area[order]
 
 
 def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, t, tokens, places, windows) of each text with areas: their tokens end to end, the first token of each area there and in the text, and windows."""
+    """(d, t, tokens, places, windows) of each text with areas: their tokens, a place between them after each, the first token of each area there and in the text, and windows."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        pieces = [tokens[a:b] for *_, tokens, found in held for a, b in found]
+        sizes = np.array([len(x) + 1 for x in pieces])
+        starts = np.cumsum(sizes) - sizes
+        tokens = np.zeros(int(sizes.sum()), np.uint64)
+        between = starts + sizes - 1
+        inside = np.ones(len(tokens), bool)
+        inside[between] = False
+        tokens[inside] = np.concatenate(pieces)
+        windows, area = _windows(tokens, between, starts)
+        rows, at = [], 0
+        for doc, key, _, found in held:
+            first, end = starts[at], between[at + len(found) - 1] + 1
+            low, high = np.searchsorted(area, [at, at + len(found)])
+            mine = windows[low:high].copy()
+            mine["s"] = area[low:high] - at
+            for n in "acb":
+                mine[n] -= first
+            places = np.column_stack((starts[at : at + len(found)] - first, [a for a, _ in found])).astype(np.int64)
+            rows.append((doc, key, tokens[first:end].tobytes(), places.tobytes(), mine.tobytes()))
+            at += len(found)
+        return _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["d", "t", "tokens", "places", "windows"])
+
     for batch in batches:
-        rows, size = [], 0
+        held, size = [], 0
         for doc, raw, key, blob in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             tokens = shingles(raw)
             found = areas(np.isin(_marks(tokens), np.frombuffer(b"".join(blob), np.uint32)))
-            if not found:
-                continue
-            places, windows, at = [], [], 0
-            for k, (a, b) in enumerate(found):
-                windows += windows_of(tokens[a:b], k, at)
-                places.append((at, a))
-                at += b - a
-            rows.append((doc, key, np.concatenate([tokens[a:b] for a, b in found]).tobytes(), np.array(places, np.int64).tobytes(), np.concatenate(windows).tobytes()))
-            size += len(rows[-1][2]) + len(rows[-1][4])
-            if size > 4 * BLOCK_BYTES:
-                yield _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["d", "t", "tokens", "places", "windows"])
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["d", "t", "tokens", "places", "windows"])
+            if found:
+                held.append((doc, key, tokens, found))
+                size += 8 * len(tokens)
+            if size > BLOCK_BYTES:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
 
 def _exploded(batches: Iterator[pa.RecordBatch], names: str, bits=None, root: bool = False) -> Iterator[pa.RecordBatch]:
@@ -430,12 +478,12 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cell in by_cell(batches, 2):
         root, node, low = (cell.column(n).to_numpy() for n in ("root", "node", "low"))
         around = [np.frombuffer(x, np.uint64) for x in cell.column("around").to_pylist()]
-        single = [np.unique(x, return_counts=True) for x in around]
-        # Repeated tokens count as often as they stand.
-        bags = [np.concatenate([mix64(u[n > j] + np.uint64(j)) for j in range(int(n.max(initial=0)))]) if len(u) else u for u, n in single]
+        bags = [members(*np.unique(x, return_counts=True)) for x in around]
         n = len(bags)
-        common = common_counts(np.concatenate(bags), np.repeat(np.arange(n), list(map(len, bags))), n)
-        i, j = np.nonzero(np.triu((common >= need - 0.5) & (root[:, None] != root[None, :]), 1))
+        rest = outside_largest(np.unique(root, return_inverse=True)[1].reshape(-1))
+        common = common_counts(np.concatenate(bags), np.repeat(np.arange(n), list(map(len, bags))), n, rest)
+        i, j = np.nonzero((common >= need - 0.5) & (root[rest, None] != root[None, :]))
+        i = rest[i]
         merged = {r: r for r in root.tolist()}
 
         def top(r: int) -> int:
@@ -495,7 +543,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, class_size, and spans (word ranges, ends excluded, that verified links cover)."""
     content = F.coalesce(column(text), F.lit(""))
-    long_enough = F.coalesce(F.regexp_count(content, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) >= TOKENS + 4
+    # The split ends with the fiftieth word.
+    long_enough = F.size(F.split(F.btrim(content, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", TOKENS + 4)) >= TOKENS + 4
     id_ = column(doc_id).cast("long")
     slim = checkpointed(
         docs.select(
@@ -508,9 +557,9 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     n_shards = max(8, -(-total // SHARD_BYTES))
     keyed = docs.select(F.xxhash64(content).alias("t"), content.alias("text"))
     blobs = keyed.mapInArrow(lambda batches: _tokens(batches, n_shards), "shard long, v binary, t binary, n binary")
-    marks = blobs.groupBy("shard").applyInArrow(_shared, "t long, p binary, again boolean").groupBy(F.col("t").alias("__t"))
-    marks = marks.agg(F.collect_list("p").alias("blobs"), F.sum(F.length("p")).alias("size"), F.max("again").alias("again"))
-    wanted = marks.where((F.col("size") >= 4 * needed()) | F.col("again")).join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t")
+    replies = blobs.groupBy("shard").applyInArrow(lambda key, table: _shared(key, table, n_shards), "shard long, v binary, t binary, n binary")
+    marks = replies.groupBy("shard").applyInArrow(_by_text, "__t long, blobs array<binary>")
+    wanted = marks.join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t")
     wanted = checkpointed(wanted.select("__d", "__t", "blobs"))
     with small_batches(docs.sparkSession):
         chosen = _chosen(docs, wanted, doc_id, text).dropDuplicates(["__d", "__t"])

@@ -30,45 +30,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import flagged
-from .common import checkpointed, mix64, texts
+from .common import POWERS, checkpointed, mix64, texts
 
 LENGTH = 100
 GRAM = 50
 HOT = 4096
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
-_B = 0xD6E8FEB86659FD93
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 NULL_ID = -(2**63)
 
 
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            made = []
-            for base in (_B, pow(_B, -1, 1 << 64)):
-                x = np.full(size, np.uint64(base))
-                x[0] = 1
-                made.append(np.multiply.accumulate(x))
-            self.up, self.down = made
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers()
-
-
 class Prefix:
     """Prefix polynomial hashes of a buffer: the hash of any of its substrings takes one product."""
 
     def __init__(self, buffer: np.ndarray):
         self.buffer = buffer
-        self.up, down = _POWERS.upto(len(buffer) + 1)
+        self.up, down = POWERS.upto(len(buffer) + 1)
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(_TABLE[buffer] * down[: len(buffer)], out=self.sums[1:])
 
@@ -183,7 +161,8 @@ def anchor_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _split(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    order = np.argsort(shard, kind="stable")
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and 0 <= shard.min() and shard.max() < 1 << 16 else shard, kind="stable")
     sorted_ = shard[order]
     edges = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else np.zeros(0, int)
     ends = np.concatenate((edges[1:], [len(order)])) if len(order) else edges
