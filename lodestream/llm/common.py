@@ -99,11 +99,11 @@ def mapped(
     A narrow step: no shuffle, memory bounded by one Arrow batch. ``setup`` runs once in a task; its result is the first argument.
     """
     wanted = list(dict.fromkeys([*keep, *columns]))
-    # Positions, not names, reach the function: extra columns and clashing names are no concern of it.
-    source = df.select(*[column(c) for c in wanted])
+    # Places, not names, reach the function: extra columns and clashing or odd names are no concern of it.
+    source = df.select(*[column(c).alias(f"c{k}") for k, c in enumerate(wanted)])
     n_keep = len(keep)
     where = [wanted.index(c) for c in columns]
-    schema = T.StructType([*source.schema.fields[:n_keep], *(T.StructField(n, t) for n, t in added)])
+    schema = T.StructType([*source.schema.fields[:n_keep], *(T.StructField(f"m{k}", t) for k, (_, t) in enumerate(added))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (setup(),) if setup else ()
@@ -113,7 +113,7 @@ def mapped(
             made = function(*first, *(batch.column(i) for i in where))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *(n for n, _ in added))
 
 
 def texts(column: pa.Array) -> list[bytes]:
