@@ -1,15 +1,18 @@
 """Exact dedup with a cuckoo-filter index of content digests.
 
-Every digest lives in a shard (a range of its leading bits). A shard's index is a cuckoo filter over 16-bit
-fingerprints beside the stored keys, which are bucketed by fingerprint and first slot. A lookup that misses the filter is certain to be
-new; a hit is verified against the bucket's full keys; an insertion that overflows doubles the table, refilled from the stored keys.
-Live digests can be deleted.
+Every digest lives in a shard. A shard's index is a cuckoo filter over 16-bit fingerprints beside the stored keys, which
+are bucketed by fingerprint and first slot. A lookup that misses the filter is certain to be new; a hit is verified
+against the bucket's full keys; an insertion that overflows doubles the table, refilled from the stored keys. Live
+digests can be deleted.
 
 The batch operator first adds up equal digests within salts, so that a text which a third of all rows share comes to
-a shard as a few rows; the shards' indexes then merge those. Slim rows move, never texts.
+a shard as a few rows; the shards' indexes then merge those. Slim rows move, never texts, and the number of shards
+follows the number of rows: an index holds some SHARD_DIGESTS digests, whatever the table.
 
-Defined results: a null text equals the empty text; of equal texts the row with the largest doc_id stays, null counting
-as the smallest; rows equal in both doc_id and text report the same, and ``deduplicated`` keeps one of them.
+Defined results: a null text equals the empty text; a text of any length is read whole; of equal texts the row with the
+largest doc_id stays, null counting as the smallest; rows equal in both doc_id and text report the same, and
+``deduplicated`` keeps one of them, the first by its other columns; an empty table gives an empty table; other columns
+keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import column
+
 SLOTS = 4
 MAX_KICKS = 200
 SALTS = 32
+SHARD_DIGESTS = 200_000
 
 
 class CuckooIndex:
@@ -117,16 +123,18 @@ class CuckooIndex:
             yield from cell.items()
 
 
-def digest(text: str | Column) -> Column:
-    column = F.col(text) if isinstance(text, str) else text
-    return F.unhex(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256))
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's shards: each partial (digest, greatest id, rows, live) enters the index; deletions leave it."""
+    """One shard: each partial (digest, greatest id, rows, live) enters the index; what isn't live leaves it."""
     index = CuckooIndex()
     for batch in batches:
-        for key, best, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, best, rows, live in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not live:
+                index.delete(key)
+                continue
             had = index.get(key)
             if had is not None:
                 ids = [x for x in (best, had[0]) if x is not None]
@@ -147,16 +155,34 @@ def _batch(block: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*block, strict=True), kinds, strict=True)], names=["__digest", "keep_id", "group_size"])
 
 
+def _sharded(partial: DataFrame, n_rows: int) -> DataFrame:
+    """(__digest, keep_id, group_size) of rows (__digest, __best, __rows, __live), through the shards' indexes; deletions come after insertions."""
+    least = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partial.select("__digest", "__best", "__rows", "__live").repartition(max(least, -(-n_rows // SHARD_DIGESTS)), "__digest")
+    return dealt.sortWithinPartitions(F.desc("__live")).mapInArrow(_merged, "__digest binary, keep_id long, group_size long")
+
+
 def groups(slim: DataFrame) -> DataFrame:
-    """(__digest, keep_id, group_size) of rows (__id, __digest), through the shards' cuckoo indexes."""
+    """The index of rows (__id, __digest): (__digest, keep_id, group_size)."""
     salted = slim.groupBy("__digest", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).alias("__salt"))
-    partial = salted.agg(F.max("__id").alias("__best"), F.count(F.lit(1)).alias("__rows"))
-    return partial.repartition("__digest").select("__digest", "__best", "__rows").mapInArrow(_merged, "__digest binary, keep_id long, group_size long")
+    partial = salted.agg(F.max("__id").alias("__best"), F.count(F.lit(1)).alias("__rows"), F.lit(True).alias("__live"))
+    return _sharded(partial, slim.count())
+
+
+def without(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """An index table (__digest, keep_id, group_size) after the deletion of the digests in ``gone`` (__digest); others there change nothing."""
+    live = index.select("__digest", F.col("keep_id").alias("__best"), F.col("group_size").alias("__rows"), F.lit(True).alias("__live"))
+    dead = gone.select("__digest", F.lit(None).cast("long").alias("__best"), F.lit(0).cast("long").alias("__rows"), F.lit(False).alias("__live")).distinct()
+    return _sharded(live.unionAll(dead), index.count())
+
+
+def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(column(doc_id).cast("long").alias("__id"), digest(column(text)).alias("__digest"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), digest(F.col(f"`{text}`")).alias("__digest"))
+    slim = _digests(docs, doc_id, text)
     return slim.join(groups(slim), "__digest").select(
         F.col("__id").alias("doc_id"),
         "keep_id",
@@ -168,18 +194,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each different text, its columns as they are."""
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), digest(F.col(f"`{text}`")).alias("__digest"))
-    live = groups(slim).select("__digest", "keep_id")
-    marked = docs.select("*", digest(F.col(f"`{text}`")).alias("__digest"))
-    kept = marked.join(live, "__digest").where(F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("keep_id")))
-    # Rows equal in id and text are left: the first by their other columns stays.
-    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c != text]
+    live = groups(_digests(docs, doc_id, text)).select("__digest", "keep_id")
+    # A row travels as one struct, so that its columns can't clash with these.
+    row = F.struct(*[column(c).alias(c) for c in docs.columns])
+    marked = docs.select(row.alias("__row"), column(doc_id).cast("long").alias("__id"), digest(column(text)).alias("__digest"))
+    kept = marked.join(live, "__digest").where(F.col("__id").eqNullSafe(F.col("keep_id")))
+    # Rows equal in id and text are left.
+    others = [F.col("__row").getField(c).cast("string") for c in docs.columns if c != text]
     first = F.row_number().over(Window.partitionBy("__digest").orderBy(*others))
-    return kept.withColumn("__first", first).where("__first = 1").select(*[f"`{c}`" for c in docs.columns])
-
-
-def without(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """An index table (__digest, keep_id, group_size) after deletions: ``gone`` has (__digest, __rows) to take away."""
-    taken = gone.groupBy("__digest").agg(F.sum("__rows").alias("__gone"))
-    left = index.join(taken, "__digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("__gone", F.lit(0)))
-    return left.where("group_size > 0").drop("__gone")
+    return kept.withColumn("__first", first).where("__first = 1").select("__row.*")
