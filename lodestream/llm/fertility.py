@@ -1,14 +1,18 @@
 """Quality rules on tokeniser fertility.
 
-A public vocabulary measures every document: characters per token, the share of tokens that had to fall back to
-single bytes, and the entropy of the document's tokens in bits. Bands per language, or per script where the language
-has none, reject what lies outside. A document also has to pass base rules on its length and repetition.
+Two public vocabularies measure every document. One with byte fallback gives characters per token, the share of tokens
+that had to fall back to single bytes, and the entropy of the document's tokens in bits; a second one, of byte pairs,
+gives characters per token again, as what one vocabulary happens to hold another need not. Bands per language, or per
+script where the language has none, reject what lies outside: text that needs more tokens than its language does. A
+document also has to pass base rules on its length and repetition.
 
-Words are tokenised one by one (the vocabulary has no piece that spans white space), so that a bounded cache of words
-in each Python worker does most of the work. The step is narrow: no shuffle, one Arrow batch in memory.
+Words are tokenised one by one with the first vocabulary (it has no piece that spans white space), so that a cache of
+words of bounded size in each Python worker does most of the work. The step is narrow: no shuffle, one Arrow batch in
+memory.
 
 Defined results: a null or empty text has no words and fails the base rules; a null or unknown language is judged by
-the script of its letters; repeated rows are judged alike, each on its own.
+the script of its letters; a text of any length is measured whole; repeated rows are judged alike, each on its own; an
+empty table gives an empty table; ``filtered`` leaves all columns as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SPACES, decoded, mapped, texts, tokenizer_path
+from .common import SPACES, column, decoded, mapped, texts, tokenizer_path
+from .packing import TokenBytes, token_bytes
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -34,23 +39,24 @@ UNSURE = re.compile("[^ -~\u00a1-\u00ac\u00ae-\u024f]")
 
 @dataclass(frozen=True)
 class Band:
-    """What a document may measure, ends included."""
+    """What a document may measure, ends included: characters per token by both vocabularies, at least."""
 
     chars_per_token: tuple[float, float]
     byte_share: float
     token_entropy: float
+    chars_per_pair: float = 0.0
 
 
-#: By language code.
+#: By language code. The lower ends lie where some 2 in 1000 good documents of a language fall below.
 LANGUAGE_BANDS = {
-    "en": Band((1.55, 6.0), 0.02, 4.0),
-    "de": Band((1.55, 6.0), 0.02, 4.0),
-    "fr": Band((1.45, 6.0), 0.02, 4.0),
-    "es": Band((1.45, 6.0), 0.02, 4.0),
+    "en": Band((2.00, 6.0), 0.02, 5.2, 2.04),
+    "de": Band((2.03, 6.0), 0.02, 5.2, 1.86),
+    "fr": Band((1.70, 6.0), 0.02, 5.2, 1.69),
+    "es": Band((1.79, 6.0), 0.02, 5.2, 1.64),
 }
 #: By script.
 SCRIPT_BANDS = {
-    "latin": Band((1.3, 7.0), 0.05, 4.0),
+    "latin": Band((1.3, 7.0), 0.05, 4.0, 1.2),
     "greek": Band((0.7, 5.0), 0.30, 4.0),
     "cyrillic": Band((0.9, 5.0), 0.20, 4.0),
     "hebrew": Band((0.5, 4.0), 0.60, 3.5),
@@ -108,7 +114,8 @@ def repeated_lines(raw: bytes) -> int:
 class Meter:
     """Tokens of words, by a vocabulary with byte fallback, kept for the words seen lately."""
 
-    LIMIT = 400_000
+    #: Words and bytes that are kept.
+    LIMIT, BYTES = 400_000, 64_000_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -117,14 +124,17 @@ class Meter:
         self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(self.model.get_piece_size())])
         self.is_start = np.array([self.model.id_to_piece(i).startswith("\u2581") for i in range(self.model.get_piece_size())])
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         cache = self.cache
         if new := [w for w in set(words) if w not in cache]:
-            if len(cache) + len(new) > self.LIMIT:
+            if len(cache) + len(new) > self.LIMIT or self.held > self.BYTES:
                 cache.clear()
+                self.held = 0
                 new = list(set(words))
             self.learn(new)
+            self.held += sum(len(w) + len(cache[w]) for w in new)
         return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
 
     def learn(self, new: list[bytes]) -> None:
@@ -171,10 +181,11 @@ COLUMNS = [
     ("byte_share", T.DoubleType()),
     ("token_entropy", T.DoubleType()),
     ("band", T.StringType()),
+    ("chars_per_pair", T.DoubleType()),
 ]
 
 
-def measure(tool: Meter, raw: bytes, lang: str | None, languages: dict[str, Band], scripts: dict[str, Band]) -> tuple:
+def measure(tool: Meter, pairs: TokenBytes, raw: bytes, lang: str | None, languages: dict[str, Band], scripts: dict[str, Band]) -> tuple:
     words = raw.split()
     text = decoded(raw)
     chars = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
@@ -184,12 +195,14 @@ def measure(tool: Meter, raw: bytes, lang: str | None, languages: dict[str, Band
     per_token = chars / len(ids) if len(ids) else 0.0
     byte_share = float(tool.is_byte[ids].mean()) if len(ids) else 0.0
     bits = entropy(ids)
+    n_pairs = len(pairs.document(text)) // 4
+    per_pair = chars / n_pairs if n_pairs else 0.0
     name = lang if lang in languages else script_of(text)
     band = languages.get(name) or scripts[name]
     low, high = band.chars_per_token
-    fits = low <= per_token <= high and byte_share <= band.byte_share and bits >= band.token_entropy
+    fits = low <= per_token <= high and byte_share <= band.byte_share and bits >= band.token_entropy and per_pair >= band.chars_per_pair
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return len(words), chars, symbols, repeated_lines(raw), repeated, failed, not failed and fits, per_token, byte_share, bits, name
+    return len(words), chars, symbols, repeated_lines(raw), repeated, failed, not failed and fits, per_token, byte_share, bits, name, per_pair
 
 
 def with_fertility(
@@ -199,24 +212,29 @@ def with_fertility(
     lang: str = "lang",
     prefix: str = "",
     vocabulary: str | None = None,
+    pair_vocabulary: str | None = None,
     languages: dict[str, Band] = LANGUAGE_BANDS,
     scripts: dict[str, Band] = SCRIPT_BANDS,
 ) -> DataFrame:
     """``keep`` of every row, and the measures and verdict of its whole text under ``prefix``.
 
-    ``vocabulary`` is the path of a sentencepiece model with byte fallback, which each executor opens.
+    ``vocabulary`` is the path of a sentencepiece model with byte fallback, ``pair_vocabulary`` that of a byte-pair tokenizer; each executor opens them.
     """
     path = vocabulary or tokenizer_path("piece_bpe_32k.model")
+    pair_path = pair_vocabulary or tokenizer_path("byte_bpe_50k.json")
 
-    def rows(tool: Meter, text_column: pa.Array, lang_column: pa.Array) -> list[pa.Array]:
-        made = [measure(tool, raw, code, languages, scripts) for raw, code in zip(texts(text_column), lang_column.to_pylist(), strict=True)]
+    def rows(tools: tuple[Meter, TokenBytes], text_column: pa.Array, lang_column: pa.Array) -> list[pa.Array]:
+        made = [measure(*tools, raw, code, languages, scripts) for raw, code in zip(texts(text_column), lang_column.to_pylist(), strict=True)]
         kinds = {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
         return [pa.array(x, kinds[kind]) for x, (_, kind) in zip(zip(*made, strict=True), COLUMNS, strict=True)]
 
-    return mapped(docs, [text, lang], keep, [(prefix + n, t) for n, t in COLUMNS], rows, lambda: meter(path))
+    return mapped(docs, [text, lang], keep, [(prefix + n, t) for n, t in COLUMNS], rows, lambda: (meter(path), token_bytes(pair_path)))
 
 
 def filtered(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    out = with_fertility(docs, docs.columns, prefix="__q_", **options)
-    return out.where("__q_kept").select(*[f"`{c}`" for c in docs.columns])
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    out = with_fertility(docs, docs.columns, prefix=prefix, **options)
+    return out.where(column(prefix + "kept")).select(*map(column, docs.columns))
