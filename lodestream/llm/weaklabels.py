@@ -1,16 +1,24 @@
 """Quality and toxicity classifiers from weak labels.
 
 Heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote
-patterns (at most three to the power of the labellers, whatever the corpus) estimates each labeller's confusion with
-the hidden class; the posteriors of a bounded sample of documents train a linear scorer on hashed features, which
-then scores every document. The sample's bound is ``sample_rows``; counts, posteriors and scores cover all rows.
-
-Defined results: a null or empty text gets no votes but that of the length labeller and the scorer's bias; repeated
-rows score alike.
+patterns (for each task at most three to the power of its labellers, whatever the corpus) estimates each labeller's
+confusion with the hidden class; the posteriors of a bounded sample of documents train a linear scorer on hashed
+features, which then scores every document. Bounds: about ``sample_rows`` documents train the scorer, about
+``labelled_rows`` of the labelled rows give the learned words, at most LEARNED_WORDS; counts, posteriors and scores cover
+all rows.
+
+Labellers of a task look at different things, as the model takes them to err independently: for toxicity a list of
+insults, and two halves of the learned words without those.
+
+Defined results: a null or empty text gets the votes of a text without words and the scorer's bias; a text of any length
+is read whole; texts that tie in the sample's hash are in it together; repeated rows score alike; rows whose label is
+null, and labels of unknown documents, teach nothing; without labels no words are learned and their labellers abstain;
+an empty table gives an empty table. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, decoded, mapped, texts
+from .common import SPACES, column, decoded, mapped, texts
 from .html import _STOP
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 6000
 LABELLED_ROWS = 20_000
+LEARNED_WORDS = 2000
 #: Insults by language.
 INSULTS = {
     "en": "idiot idiots moron morons stupid dumb clown trash garbage pathetic worthless scum loser losers disgusting jerk imbecile filth vermin braindead",
@@ -60,8 +69,11 @@ class View:
         plain = [(decoded(w).strip(".,;:!?\"'()*#$%&|<>").lower(), n) for w, n in self.sizes.items()]
         self.plain = plain
         self.stops = sum(n for w, n in plain if w in _STOP) / self.n
-        self.insults = Counter({w: n for w, n in plain if w in _INSULTS})
-        self.learned = sum(w in learned for w, _ in plain) if learned else None
+        self.insults = sum(n for w, n in plain if w in _INSULTS)
+        found = [w for w, _ in plain if w in learned] if learned else []
+        self.learned = len(found)
+        # Two labellers have a half of the learned words each.
+        self.halves = [sum(zlib.crc32(w.encode()) % 2 == k for w in found) if learned else None for k in (0, 1)]
         top = self.sizes.most_common(1)
         self.top = top[0][1] / self.n if top else 0.0
         self.distinct = len(self.sizes) / self.n
@@ -83,11 +95,9 @@ LABELLERS = {
         lambda v: _vote(v.marked > 0.3, v.marked < 0.05),
     ],
     "toxicity": [
-        lambda v: _vote(bool(v.insults), not v.insults),
-        lambda v: _vote(len(v.insults) > 1, not v.insults),
-        lambda v: _vote(sum(v.insults.values()) > 0.004 * v.n, not v.insults),
-        lambda v: _vote(v.learned is not None and v.learned > max(2, 0.01 * v.n), v.learned == 0),
-        lambda v: _vote(v.learned is not None and v.learned > max(3, 0.02 * v.n), v.learned is not None and v.learned < 2),
+        lambda v: _vote(v.insults > 0, v.insults == 0),
+        lambda v: NOTHING if v.halves[0] is None else _vote(v.halves[0] > max(1, 0.005 * v.n), v.halves[0] == 0),
+        lambda v: NOTHING if v.halves[1] is None else _vote(v.halves[1] > max(1, 0.005 * v.n), v.halves[1] == 0),
     ],
 }
 TASKS = list(LABELLERS)
@@ -154,7 +164,7 @@ _BUCKETS = _Buckets()
 
 def features(view: View) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: shares of the text by measure, and a hashed bag of words and word endings by share."""
-    shares = [1.0, 4 * view.marks, view.shouts, view.capitals, 2 * view.no_letters, 2 * view.stops, view.top, view.distinct, min(1.0, view.n / 50), min(1.0, 50.0 * sum(view.insults.values()) / view.n), min(1.0, 20.0 * (view.learned or 0) / view.n)]
+    shares = [1.0, 4 * view.marks, view.shouts, view.capitals, 2 * view.no_letters, 2 * view.stops, view.top, view.distinct, min(1.0, view.n / 50), min(1.0, 50.0 * view.insults / view.n), min(1.0, 20.0 * view.learned / view.n)]
     ids = np.fromiter((_BUCKETS[w] for w, _ in view.plain), np.int64, len(view.plain))
     amounts = np.fromiter((n for _, n in view.plain), float, len(view.plain))
     norm = np.sqrt((amounts**2).sum()) or 1.0
@@ -195,22 +205,22 @@ class Model:
         return [float(1 / (1 + np.exp(-np.clip((self.weights[t][ids] * values).sum(), -50, 50)))) for t in TASKS]
 
 
-def learned_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str = "toxic", least: int = 4, log_odds: float = 2.0, most: int = 2000) -> frozenset[str]:
-    """Words that toxic documents of a labelled sample have far oftener than others, at most ``most`` by log-odds."""
-    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__bad")).where("__bad IS NOT NULL")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(r"[\p{L}]+"), F.lit(0)))
-    of_doc = docs.select(F.col(f"`{doc_id}`").alias("__id"), words.alias("__words")).join(known, "__id")
+def learned_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str = "toxic", least: int = 4, log_odds: float = 2.0, most: int = LEARNED_WORDS) -> frozenset[str]:
+    """Words, but for the listed insults, that toxic documents of a labelled sample have far oftener than others, at most ``most`` by log-odds."""
+    known = labels.select(column(doc_id).alias("__id"), F.col(label).cast("int").alias("__bad")).where("__bad IS NOT NULL")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(column(text)), F.lit(r"[\p{L}]+"), F.lit(0)))
+    of_doc = docs.select(column(doc_id).alias("__id"), words.alias("__words")).join(known, "__id")
     n = of_doc.agg(F.sum("__bad").alias("bad"), F.count(F.lit(1)).alias("all")).first()
     if not n["bad"] or n["bad"] == n["all"]:
         return frozenset()
     sizes = of_doc.select(F.explode("__words").alias("w"), "__bad").groupBy("w").agg(F.sum("__bad").alias("bad"), F.sum(1 - F.col("__bad")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (n["all"] - n["bad"] + 1.0))
-    rows = sizes.where(F.col("bad") >= least).select("w", odds.alias("o")).where(F.col("o") >= log_odds).orderBy(F.desc("o"), "w").limit(most).collect()
+    rows = sizes.where((F.col("bad") >= least) & ~F.col("w").isin(sorted(_INSULTS))).select("w", odds.alias("o")).where(F.col("o") >= log_odds).orderBy(F.desc("o"), "w").limit(most).collect()
     return frozenset(r["w"] for r in rows)
 
 
 def _sampled(docs: DataFrame, doc_id: str, text: str, rows: int, n: int, seed: int) -> DataFrame:
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit(seed), column(doc_id), column(text)), F.lit(1 << 30))
     return docs.where(place < int((1 << 30) * min(1.0, rows / max(1, n))))
 
 
@@ -221,7 +231,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labels: Dat
     """
     learned = frozenset()
     if labels is not None:
-        known = docs.join(labels.where("toxic IS NOT NULL").select(F.col(doc_id).alias("__known")), F.col(f"`{doc_id}`") == F.col("__known"), "left_semi")
+        slim = docs.select(column(doc_id).alias(doc_id), column(text).alias(text))
+        known = slim.join(labels.where("toxic IS NOT NULL").select(column(doc_id).alias("__known")), column(doc_id) == F.col("__known"), "left_semi")
         learned = learned_words(_sampled(known, doc_id, text, labelled_rows, known.count(), 31), labels, doc_id, text)
 
     def vote_rows(column: pa.Array) -> list[pa.Array]:
@@ -229,11 +240,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labels: Dat
         return [pa.array([b[k] for b in both], pa.string()) for k in range(len(TASKS))]
 
     voted = mapped(docs, [text], [], [(f"v{k}", T.StringType()) for k in range(len(TASKS))], vote_rows)
-    counted = voted.groupBy(*voted.columns).count().collect()
+    each = voted.select(F.posexplode(F.array(*voted.columns)).alias("task", "votes"))
     tables = [Counter() for _ in TASKS]
-    for row in counted:
-        for k in range(len(TASKS)):
-            tables[k][row[k]] += row["count"]
+    for row in each.groupBy("task", "votes").count().collect():
+        tables[row["task"]][row["votes"]] = row["count"]
     models = {task: fit_labels(table) if table else LabelModel(0.5, np.full((len(LABELLERS[task]), 2, 3), 1 / 3)) for task, table in zip(TASKS, tables, strict=True)}
     n = sum(tables[0].values())
     chosen = _sampled(docs, doc_id, text, sample_rows, n, 29)
