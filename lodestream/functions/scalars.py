@@ -30,6 +30,24 @@ def _round(x: str, p: str = "0") -> str:
     return f"(floor({_number(x)} * power(10, {p}) + 0.5) / power(10, {p}))"
 
 
+#: Names of character sets without signs, and Spark's names.
+_CHARSETS = {"utf8": "UTF-8", "latin1": "ISO-8859-1", "iso88591": "ISO-8859-1", "ascii": "US-ASCII", "usascii": "US-ASCII", "sqlascii": "US-ASCII", "utf16": "UTF-16"}
+
+
+def _charset(name: str) -> str:
+    return _case(f"regexp_replace(lower({name}), '[^a-z0-9]', '')", [(f"'{k}'", f"'{v}'") for k, v in _CHARSETS.items()]).removesuffix(" END") + " ELSE 'UTF-8' END"
+
+
+def _in_charset(s: str, name: str) -> str:
+    """Text that the character set can write, else null."""
+    beyond = _case(_charset(name), [("'ISO-8859-1'", "'[^\\\\x00-\\\\xff]'"), ("'US-ASCII'", "'[^\\\\x00-\\\\x7f]'")]).removesuffix(" END") + " ELSE '(?!)' END"
+    return f"IF({s} RLIKE {beyond}, NULL, decode(encode({s}, {_charset(name)}), {_charset(name)}))"
+
+
+def _from_charset(s: str, name: str) -> str:
+    return f"decode(cast({s} AS BINARY), {_charset(name)})"
+
+
 def _stamp(seconds: str) -> str:
     return f"timestamp_seconds({seconds})"
 
@@ -123,7 +141,7 @@ def _regexp_replace(s: str, pattern: str, to: str, flags: str = "''") -> str:
     return f"IF({first} = 0, {s}, concat(substring({s}, 1, {first} - 1), {to}, substring({s}, {first} + length({found}))))"
 
 
-_TYPES = {"bool": 16, "boolean": 16, "bytea": 17, "int8": 20, "bigint": 20, "int2": 21, "smallint": 21, "int4": 23, "int": 23, "integer": 23, "text": 25, "json": 114, "float4": 700, "real": 700, "float8": 701, "double precision": 701, "varchar": 1043, "date": 1082, "time": 1083, "timestamp": 1114, "timestamptz": 1184, "interval": 1186, "numeric": 1700, "uuid": 2950}
+TYPES = {"bool": 16, "boolean": 16, "bytea": 17, "int8": 20, "bigint": 20, "int2": 21, "smallint": 21, "int4": 23, "int": 23, "integer": 23, "text": 25, "json": 114, "float4": 700, "real": 700, "float8": 701, "double precision": 701, "varchar": 1043, "date": 1082, "time": 1083, "timestamp": 1114, "timestamptz": 1184, "interval": 1186, "numeric": 1700, "uuid": 2950}
 
 
 def _case(x: str, pairs: list[tuple[str, str]]) -> str:
@@ -158,12 +176,12 @@ FUNCTIONS |= {
     "bit_length": "bit_length({0})",
     "btrim": lambda s, c="' '": f"trim(BOTH {c} FROM {s})",
     "char_length": "char_length({0})",
-    "chr": "decode(encode(char({0}), 'UTF-8'), 'UTF-8')",
+    "chr": "IF({0} > 0, decode(unhex(lpad(hex(cast({0} AS BIGINT)), 8, '0')), 'UTF-32'), NULL)",
     "concat": lambda *a: f"concat_ws('', {', '.join(a)})",
     "concat_ws": lambda *a: f"concat_ws({', '.join(a)})",
-    "convert": lambda s, a, b: f"decode(encode({s}, {b}), {b})",
-    "convert_from": lambda s, e: f"decode(cast({s} AS BINARY), {e})",
-    "convert_to": lambda s, e: f"decode(encode({s}, {e}), {e})",
+    "convert": lambda s, a, b: _in_charset(s, b),
+    "convert_from": _from_charset,
+    "convert_to": _in_charset,
     "decode": lambda s, f: f"cast(CASE lower({f}) WHEN 'hex' THEN unhex({s}) WHEN 'base64' THEN unbase64({s}) ELSE cast({s} AS BINARY) END AS STRING)",
     "encode": lambda s, f: f"CASE lower({f}) WHEN 'hex' THEN lower(hex({s})) WHEN 'base64' THEN base64(cast({s} AS BINARY)) ELSE {s} END",
     "format": _format,
@@ -241,8 +259,8 @@ FUNCTIONS |= {
     "pg_get_viewdef": lambda r, p=None: "cast(NULL AS STRING)",
     "pg_total_relation_size": lambda r: "cast(0 AS BIGINT)",
     "pg_typeof": lambda x: _case(f"typeof({x})", [("'bigint'", "'bigint'"), ("'int'", "'integer'"), ("'double'", "'double precision'"), ("'string'", "'text'"), ("'boolean'", "'boolean'")]).replace(" END", " ELSE typeof(" + x + ") END"),
-    "format_type": lambda oid, mod=None: _case(oid, [(str(v), f"'{k}'") for v, k in {v: k for k, v in reversed(_TYPES.items())}.items()]),
-    "to_regtype": lambda name: _case(f"lower({name})", [(f"'{k}'", str(v)) for k, v in _TYPES.items()]),
+    "format_type": lambda oid, mod=None: _case(oid, [(str(v), f"'{k}'") for v, k in {v: k for k, v in reversed(TYPES.items())}.items()]),
+    "to_regtype": lambda name: _case(f"lower({name})", [(f"'{k}'", str(v)) for k, v in TYPES.items()]),
     "version": "'lodestream 0.1'",
 }
 ALIASES = {"pow": "power", "truncate": "trunc", "character_length": "char_length", "replicate": "repeat", "curdate": "current_date", "curtime": "current_time", "array_cat": "array_concat", "ceiling": "ceil", "substr": "substring"}

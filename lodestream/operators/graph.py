@@ -24,7 +24,8 @@ def in_window(edges: DataFrame, time: str | None, t0: int | None, t1: int | None
 def neighbors(edges: DataFrame, start: str, max_hops: int, time: str | None = None, t0: int | None = None, t1: int | None = None) -> DataFrame:
     """(node_id, prev_id, hop) of nodes within ``max_hops``, each at its first hop; prev_id is the least of its discoverers."""
     spark = edges.sparkSession
-    e = in_window(edges, time, t0, t1).select("src", "dst")
+    # Saved once: each hop reads the different edges, not the query behind them.
+    e = saved(in_window(edges, time, t0, t1).select("src", "dst").distinct())
     kind = edges.schema["src"].dataType
     seen = spark.createDataFrame([(start,)], "node string").select(F.col("node").cast(kind).alias("node_id"), F.lit(None).cast(kind).alias("prev_id"), F.lit(0).alias("hop"))
     found, frontier = seen, seen
@@ -46,7 +47,7 @@ def path(edges: DataFrame, src: str, dst: str, max_hops: int, cost: str | None =
     spark = edges.sparkSession
     chosen = in_window(edges, time, t0, t1)
     weight = F.col(cost).cast("double") if cost else F.lit(1.0)
-    e = chosen.select("src", "dst", weight.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
+    e = saved(chosen.select("src", "dst", weight.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     kind = edges.schema["src"].dataType
     layer = spark.createDataFrame([(src,)], "n string").select(F.col("n").cast(kind).alias("node"), F.lit(0.0).alias("d"), F.array(F.col("n").cast(kind)).alias("nodes"))
     best = layer.where(F.col("node") == F.lit(dst).cast(kind)).withColumn("h", F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.udf import UserFunction, register
 from .operators.vectors import VectorIndex
+from .sources.catalogs import CATALOGS, catalog, oid_of
 from .sources.keyvalue import KeyValueStore
 from .sources.storage import Store
 
@@ -25,6 +26,7 @@ class Session:
         self.store = Store(spark, root) if root else None
         self.kv: dict[str, KeyValueStore] = {}
         self.frames: dict[str, str] = {}
+        self.loaders: dict[str, Callable[[], DataFrame]] = {}
         self.keys: dict[str, str] = {}
         self.view_texts: dict[str, str] = {}
         self.ctes: dict[str, str] = {}
@@ -52,20 +54,29 @@ class Session:
             self.keys[self.short(name)] = key
 
     def register_dir(self, sf_dir: str, tables: list[str] = TABLES) -> None:
-        """The driver's tables; ``events`` also has ``_time``."""
+        """The driver's tables, each opened when it is first named; ``events`` also has ``_time``."""
         from .operators.shared import with_time
 
-        for t in tables:
+        def load(t: str) -> DataFrame:
             df = self.spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            self.register(t, with_time(df, "ts") if t == "events" else df)
+            return with_time(df, "ts") if t == "events" else df
+
+        for t in tables:
+            self.loaders[self.short(t)] = lambda t=t: load(t)
         if "embeddings" in tables:
             self.keys["embeddings"] = "vec_id"
 
+    def relation_oid(self, name: str) -> int:
+        """The number of a table, as text that is cast to regclass gives it."""
+        return oid_of(name if name.startswith('"') else name.lower(), self.settings["database"], self.settings["schema"])
+
     def resolve(self, name: str) -> str:
         """The temporary view behind a name."""
         short = self.short(name)
         if short in self.ctes:
             return self.ctes[short]
+        if short in self.loaders and short not in self.frames:
+            self.register(short, self.loaders[short]())
         if short in self.frames:
             return self.frames[short]
         if short in self.view_texts:
@@ -83,6 +94,9 @@ class Session:
         if short in ("information_schema.tables", "information_schema.columns", "information_schema.schemata", "information_schema.views"):
             self.register(short, self.information(parts[-1]))
             return self.frames.pop(short)
+        if short.removeprefix("pg_catalog.") in CATALOGS:
+            self.register(short, catalog(self, short.removeprefix("pg_catalog.")))
+            return self.frames.pop(short)
         if self.store and self.store.exists(short):
             self.register(short, self.store.read(short))
             return self.frames.pop(short)
@@ -118,7 +132,7 @@ class Session:
     # catalogue
     def _names(self) -> list[tuple[str, str]]:
         stored = [(t, "BASE TABLE") for t in (self.store.list() if self.store else [])]
-        return sorted([*((t, "BASE TABLE") for t in self.frames), *((v, "VIEW") for v in self.view_texts), *stored])
+        return sorted([*((t, "BASE TABLE") for t in {*self.frames, *self.loaders}), *((v, "VIEW") for v in self.view_texts), *stored])
 
     def information(self, what: str) -> DataFrame:
         db, schema = self.settings["database"], self.settings["schema"]

@@ -15,6 +15,26 @@ def by_window_stream(stream: DataFrame, timestamp: str, width: str, late: str, *
     return grouped.select(F.unix_millis(F.col("window.start")).alias("_time"), *[F.col(c) for c in grouped.columns if c != "window"])
 
 
+def run_by_window(stream: DataFrame, rows: DataFrame, timestamp: str, width: str, late: str, folder: str, *aggregates: Column) -> DataFrame:
+    """Windows of all that ``stream`` holds now, in append mode: what the watermark closes goes to a table in ``folder``.
+
+    Rows later than ``late`` are dropped. The windows that are still open at the end come from ``rows``, the same source
+    as a table, of which only the stretch past the watermark is read.
+    """
+    spark = stream.sparkSession
+    made = by_window_stream(stream, timestamp, width, late, *aggregates)
+    running = made.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    closed = spark.read.schema(made.schema).parquet(f"{folder}/rows")
+    w = width_ms(width)
+    edge = rows.agg((F.max(timestamp) - F.expr(f"INTERVAL {late}")).alias("t")).first()["t"]
+    if edge is None:
+        return closed
+    start = F.unix_millis(timestamp) - F.pmod(F.unix_millis(timestamp), F.lit(w))
+    tail = rows.where(F.timestamp_millis(start + w) > F.lit(edge)).groupBy(start.alias("_time")).agg(*aggregates)
+    return closed.unionByName(tail)
+
+
 def sessions_stream(stream: DataFrame, timestamp: str, gap: str, late: str, keys: list[str], *aggregates: Column) -> DataFrame:
     """Sessions of rows less than ``gap`` apart, by keys."""
     g = f"{width_ms(gap)} milliseconds"

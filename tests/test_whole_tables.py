@@ -1,4 +1,4 @@
-"""Queries over whole tables, where others of the catalogue take a part, against brute force."""
+"""Graph and interval queries against brute force."""
 
 import os
 
@@ -31,8 +31,8 @@ def test_graph_of_all_edges(spark):
         wanted |= found
         frontier = set(found)
     del wanted["c1"]
-    assert {r["node_id"]: (r["prev_id"], r["hop"]) for r in QUERIES["graph_neighbors_all"](spark, DATA).collect()} == wanted
-    assert {r["node_id"]: r["hop"] for r in QUERIES["match_rewrite_all"](spark, DATA).collect()} == {n: h for n, (_, h) in wanted.items() if h < 3}
+    assert {r["node_id"]: (r["prev_id"], r["hop"]) for r in QUERIES["graph_neighbors"](spark, DATA).collect()} == wanted
+    assert {r["node_id"]: r["hop"] for r in QUERIES["match_rewrite"](spark, DATA).collect()} == {n: h for n, (_, h) in wanted.items() if h < 3}
 
 
 def merged(spells):
@@ -49,7 +49,7 @@ def test_slices_of_all_users(spark):
     events = rows("SELECT epoch_us(ts) // 1000, event_type, value FROM events WHERE user_id IS NOT NULL")
     spells = merged((t, t + 3_600_000) for t, *_ in events)
     pairs = lambda name: sorted((r["_start_date"], r["_end_date"]) for r in QUERIES[name](spark, DATA).collect())
-    assert pairs("slice_union_all") == spells
-    assert pairs("slice_table_where") == merged((t, t + 3_600_000) for t, kind, _ in events if kind == "purchase")
-    got = {r["_time"]: r["n"] for r in QUERIES["by_slice_all"](spark, DATA).collect()}
+    assert pairs("slice_union") == spells
+    assert pairs("slice_table") == merged((t, t + 3_600_000) for t, kind, _ in events if kind == "purchase")
+    got = {r["_time"]: r["n"] for r in QUERIES["by_slice"](spark, DATA).collect()}
     assert got == {a: sum(a <= t < b and v is not None for t, _, v in events) for a, b in spells}
