@@ -1,13 +1,13 @@
 """User functions: scalar, aggregate and table functions in Python, called from the dialect by name."""
 
 import inspect
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass
@@ -17,6 +17,7 @@ class UserFunction:
     kind: str
     returns: list[str]
     nullable: bool = True
+    parameters: tuple[str, ...] = ()
 
 
 def _tolerant(fn: Callable, null_on_error: bool) -> Callable:
@@ -39,34 +40,22 @@ def register(spark: SparkSession, registry: dict[str, UserFunction], name: str,
     kinds = [returns] if isinstance(returns, str) else list(returns)
     form = kinds[0] if len(kinds) == 1 else "struct<" + ", ".join(f"c{k}: {t}" for k, t in enumerate(kinds)) + ">"
     safe = _tolerant(fn, null_on_error)
-    registered = f"__udf_{name.lower()}"
+    # A name of its own each time: queries compiled before keep the function that they were compiled with.
+    registered = f"__udf_{name.lower()}_{uuid.uuid4().hex[:12]}"
+    parameters = tuple(inspect.signature(fn).parameters)
     if kind == "scalar":
         spark.udf.register(registered, F.udf(safe, form, useArrow=True))
     elif kind == "aggregate":
         if len(kinds) > 1:
             raise ValueError("an aggregate with several results is several aggregates")
 
-        n = len(inspect.signature(fn).parameters)
-        if n == 1:
+        def aggregate(*columns: pd.Series) -> float:
+            return safe(*(c.tolist() for c in columns))
 
-            def aggregate(a: pd.Series) -> float:
-                return safe(a.tolist())
-        elif n == 2:
-
-            def aggregate(a: pd.Series, b: pd.Series) -> float:
-                return safe(a.tolist(), b.tolist())
-        else:
-            raise ValueError("an aggregate takes one or two arguments")
         spark.udf.register(registered, F.pandas_udf(aggregate, form))
     else:
         raise ValueError(f"unknown kind {kind}")
-    made = UserFunction(name, registered, kind, kinds, null_on_error)
+    made = UserFunction(name, registered, kind, kinds, null_on_error, parameters)
     registry[name.lower()] = made
     return made
 
-
-def expand(df, column: str, alias: str):
-    """A struct column c0, c1, ... as ``alias``_0, ``alias``_1, ..."""
-    fields = df.schema[column].dataType
-    assert isinstance(fields, T.StructType)
-    return df.select(*[c for c in df.columns if c != column], *[F.col(f"`{column}`.`{f.name}`").alias(f"{alias}_{k}") for k, f in enumerate(fields.fields)])

@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grouped_quantile(df: DataFrame, keys: list[str], value: str, percent: int = 50, name: str = "quantile", buckets: int = 64) -> DataFrame:
-    """One row for each group with the value at rank round(q * (n - 1)).
+def _by_key(df: DataFrame, keys: list[str], value: str, percent: float, name: str, buckets: int) -> DataFrame:
+    """(__key, quantile) by a struct of the keys, in which nulls equal each other.
 
-    Values are counted first; running counts are taken in ``buckets`` ranges of each group, whose offsets come from a
-    small table, so that no group is in one task.
+    Values are counted first. Approximate cuts part each group into ``buckets`` ranges; their counts tell in which one
+    the rank lies, and only that range's values are put in order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("__cuts"), F.sum("__n").alias("__all"))
-    placed = counts.join(bounds, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
-    offsets = placed.groupBy(*keys, "__b").agg(F.sum("__n").alias("__m"))
-    before = F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = offsets.select(*keys, "__b", before.alias("__before"))
-    ranked = placed.join(offsets, [*keys, "__b"]).withColumn("__end", F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys, "__b").orderBy(value)))
+    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(1))
+    counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(key.alias("__key"), F.col(f"`{value}`").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    bounds = counts.groupBy("__key").agg(F.percentile_approx("__v", [k / buckets for k in range(1, buckets)], 1000).alias("__cuts"), F.sum("__n").alias("__all"))
     rank = F.floor(F.lit(percent / 100.0) * (F.col("__all") - 1) + 0.5)
-    return ranked.where((F.col("__end") > rank) & (F.col("__end") - F.col("__n") <= rank)).select(*keys, F.col(value).alias(name))
+    placed = counts.join(bounds.select("__key", "__cuts"), "__key").select("__key", "__v", "__n", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__b"))
+    ranges = placed.groupBy("__key", "__b").agg(F.sum("__n").alias("__m")).join(bounds.select("__key", rank.alias("__rank")), "__key")
+    upto = F.sum("__m").over(Window.partitionBy("__key").orderBy("__b"))
+    chosen = ranges.withColumn("__upto", upto).where((F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__m") <= F.col("__rank")))
+    chosen = chosen.select("__key", "__b", (F.col("__rank") - F.col("__upto") + F.col("__m")).alias("__rank"))
+    ended = placed.join(chosen, ["__key", "__b"]).withColumn("__end", F.sum("__n").over(Window.partitionBy("__key").orderBy("__v")))
+    return ended.where((F.col("__end") > F.col("__rank")) & (F.col("__end") - F.col("__n") <= F.col("__rank"))).select("__key", F.col("__v").alias(name))
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, percent: float = 50, name: str = "quantile", buckets: int = 64) -> DataFrame:
+    """One row for each group that has a value, with the one at rank round(q * (n - 1)); no group is in one task."""
+    return _by_key(df, keys, value, percent, name, buckets).select(*[F.col("__key").getField(k).alias(k) for k in keys], name)
+
+
+def with_quantile(df: DataFrame, keys: list[str], value: str, percent: float, name: str, buckets: int = 64) -> DataFrame:
+    """``df`` and its group's quantile in every row; null where the group has no value."""
+    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(1))
+    found = _by_key(df, keys, value, percent, name, buckets)
+    return df.withColumn("__key", key).join(found, "__key", "left").drop("__key")

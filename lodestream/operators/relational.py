@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 
 def union_by_name(*frames: DataFrame, distinct: bool = False) -> DataFrame:
     """Rows of all frames under the union of their columns; missing ones are null, and types follow the first occurrence."""
@@ -20,27 +22,26 @@ def union_by_name(*frames: DataFrame, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def _flip(order: list[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).desc_nulls_first() if ascending else F.col(c).asc_nulls_first() for c, ascending in order]
-
-
-def ordered(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
-    """By columns (name, ascending), nulls last either way."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c, ascending in order])
-
-
-def limited(df: DataFrame, n: int, order: list[tuple[str, bool]]) -> DataFrame:
-    """The first n rows by ``order``; for a negative n the last ones, still in order. Either way a bounded heap in each task."""
-    if n >= 0:
-        return (ordered(df, order) if order else df).limit(n)
-    if not order:
-        raise ValueError("a negative limit needs an order")
-    return ordered(df.orderBy(*_flip(order)).limit(-n), order)
-
-
-def numbered(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]], name: str = "rn") -> DataFrame:
-    keys = [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c, ascending in order_by]
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*keys)).cast("long"))
+def numbered_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` and each row's number by SQL sort keys ("x DESC NULLS LAST"), with no task that sees all rows.
+
+    Rows are dealt out by ranges of the keys and sorted there; the sizes of the parts, a row for each, give the offsets.
+    """
+    keys = []
+    for k in order:
+        expression, direction, *_ = k.rsplit(" ", 3)
+        keys.append(F.expr(expression).desc_nulls_last() if direction == "DESC" else F.expr(expression).asc_nulls_last())
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    # Written down, as the ranges of another run could be others.
+    ranged = saved(ranged.withColumn("__i", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "__p long, __before long"))
+    return ranged.join(before, part == F.col("__p")).withColumn(name, F.col("__before") + place + 1).drop("__i", "__p", "__before")
 
 
 def any_of(df: DataFrame, column: str, op: str, values: DataFrame, value: str) -> DataFrame:

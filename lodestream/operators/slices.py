@@ -12,8 +12,21 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 START, END = "_start_date", "_end_date"
-STRETCH = 30 * 86_400_000
+#: Intervals that a stretch holds on average.
+STRETCH_INTERVALS = 200_000
+
+
+def stretch_of(*frames: DataFrame) -> int:
+    """The length of a stretch: as many intervals as a task may sort, and no shorter than intervals are on average."""
+    found = [f.agg(F.min(START).alias("lo"), F.max(START).alias("hi"), F.count(F.lit(1)).alias("n"), F.avg(F.col(END) - F.col(START)).alias("mean")).first() for f in frames]
+    found = [r for r in found if r["n"]]
+    if not found:
+        return 1
+    length = max(r["hi"] for r in found) - min(r["lo"] for r in found) + 1
+    return int(max(1, length * STRETCH_INTERVALS // sum(r["n"] for r in found), 2 * max(r["mean"] or 0 for r in found)))
 
 
 def to_ms(x: int | str) -> int:
@@ -78,10 +91,10 @@ def _islands(df: DataFrame, labels: list[str], by_label: bool, stretch: int) ->
     return numbered.withColumn("__island", F.col("__cs") + F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def merge(df: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def merge(df: DataFrame, stretch: int | None = None) -> DataFrame:
     """Overlapping and touching intervals as one; with labels only neighbours of equal labels merge."""
     labels = label_columns(df)
-    made = _islands(df, labels, True, stretch)
+    made = _islands(df, labels, True, stretch or stretch_of(df))
     out = made.groupBy("__island").agg(F.min(START).alias(START), F.max(END).alias(END), *(F.first(c).alias(c) for c in labels))
     return out.select(START, END, *labels)
 
@@ -92,35 +105,41 @@ def _aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str
     return fill(a), fill(b), names
 
 
-def intersect(a: DataFrame, b: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def intersect(a: DataFrame, b: DataFrame, stretch: int | None = None) -> DataFrame:
     """Pairwise overlaps (zero length stays), merged; labels of the right side win where they aren't empty.
 
     A range join on stretches of the time line: both sides are dealt to each stretch that they touch, and a pair counts
     in the stretch in which its overlap begins.
     """
+    a, b = saved(a), saved(b)  # each is read several times
     a, b, names = _aligned(a, b)
+    stretch = stretch or stretch_of(a, b)
     deal = lambda d: d.withColumn("__b", F.explode(F.sequence(F.floor(F.col(START) / F.lit(stretch)), F.floor(F.col(END) / F.lit(stretch)))))
     l, r = deal(a).alias("l"), deal(b).alias("r")
     start, end = F.greatest(f"l.{START}", f"r.{START}"), F.least(f"l.{END}", f"r.{END}")
     pairs = l.join(r, (F.col("l.__b") == F.col("r.__b")) & (start <= end)).where(F.floor(start / F.lit(stretch)) == F.col("l.__b"))
     chosen = [F.coalesce(F.nullif(F.col(f"r.`{n}`"), F.lit("")), F.col(f"l.`{n}`")).alias(n) for n in names]
-    return merge(pairs.select(start.alias(START), end.alias(END), *chosen), stretch)
+    return merge(saved(pairs.select(start.alias(START), end.alias(END), *chosen)), stretch)
 
 
-def union(a: DataFrame, b: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def union(a: DataFrame, b: DataFrame, stretch: int | None = None) -> DataFrame:
     """Both, merged whatever the labels; the earliest label that isn't empty wins, the left side's before the right's."""
     a, b, names = _aligned(a, b)
     both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
+    both = saved(both)
     if not names:
         return merge(both.drop("__side"), stretch)
-    made = _islands(both, ["__side", *names], False, stretch)
+    made = _islands(both, ["__side", *names], False, stretch or stretch_of(both))
     order = F.struct("__side", START, END)
     first = [F.min_by(F.nullif(F.col(f"`{n}`"), F.lit("")), F.when(F.nullif(F.col(f"`{n}`"), F.lit("")).isNotNull(), order)).alias(n) for n in names]
     return made.groupBy("__island").agg(F.min(START).alias(START), F.max(END).alias(END), *first).select(START, END, *names)
 
 
-def by_slice(df: DataFrame, slices: DataFrame, *aggregates: Column, time: str = "_time", stretch: int = STRETCH) -> DataFrame:
+def by_slice(df: DataFrame, slices: DataFrame, *aggregates: Column, time: str = "_time", stretch: int | None = None) -> DataFrame:
     """Aggregates of the rows in each half-open interval [start, end); empty intervals keep a row; ``_time`` is the start."""
+    slices = saved(slices)
+    # Rows are many: a stretch holds so many of them, and an interval is dealt to each stretch that it touches.
+    stretch = stretch or stretch_of(df.where(F.col(time).isNotNull()).select(F.col(time).alias(START), F.col(time).alias(END)))
     labels = label_columns(slices)
     each = slices.select(START, END, *labels).withColumn("__slice", F.struct(START, END, *labels))
     dealt = each.withColumn("__b", F.explode(F.sequence(F.floor(F.col(START) / F.lit(stretch)), F.floor(F.col(END) / F.lit(stretch)))))

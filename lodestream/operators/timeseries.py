@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stretches
+
 UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
 
@@ -52,12 +54,12 @@ def rolling(df: DataFrame, width: str | int, aggregates: dict[str, Column], time
     return made.where("__in = __of").drop("__in", "__of")
 
 
-def previous(df: DataFrame, column: str, order: list[str], name: str = "previous", partition_by: list[str] | None = None, stretch: int = 86_400_000) -> DataFrame:
+def previous(df: DataFrame, column: str, order: list[str], name: str = "previous", partition_by: list[str] | None = None) -> DataFrame:
     """``df`` and the value of ``column`` in the row before, by ``order`` (whose first column is a number)."""
     keys = list(partition_by or [])
     if keys:
         return df.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
-    stretched = df.withColumn("__b", F.floor(F.col(order[0]) / F.lit(stretch)).cast("long"))
+    stretched = df.withColumn("__b", stretches(df, order[0]))
     ends = stretched.groupBy("__b").agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("__last"))
     ends = ends.select("__b", F.lag("__last").over(Window.orderBy("__b")).alias("__carried"))
     inside = Window.partitionBy("__b").orderBy(*order)

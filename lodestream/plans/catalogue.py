@@ -438,11 +438,9 @@ def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value AS p_0, value + 1 AS p_1 FROM events")
 def udf_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.udf import expand
-
     s = session(spark, sf_dir)
     s.create_function("pair", lambda v: (v, v + 1), ["double", "double"])
-    return expand(s.query("SELECT event_id, pair(value) AS p FROM events"), "p", "p")
+    return s.query("SELECT event_id, pair(value) AS p FROM events")
 
 
 @query("SELECT event_type, max(value) - min(value) + 1 AS r FROM events GROUP BY event_type")

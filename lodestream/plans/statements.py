@@ -124,3 +124,49 @@ def show_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .catalogue import shop
 
     return shop(spark, sf_dir).execute("SHOW GRAPHS")
+
+
+# user functions and time tables
+@query("SELECT event_type, max(value) - min(user_id) AS r FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def udaf_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    s.create_function("apart", lambda v, u: float(max(v) - min(u)), "double", "aggregate")
+    return s.query("SELECT event_type, apart(value, user_id) AS r FROM events WHERE value IS NOT NULL GROUP BY event_type")
+
+
+@query("SELECT event_type, sum(value * 2) AS r FROM events GROUP BY event_type")
+def aggregate_of_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    s.create_function("dbl", lambda v: None if v is None else v * 2, "double")
+    return s.query("SELECT event_type, SUM(dbl(value)) AS r FROM events GROUP BY event_type").withColumn("r", F.round("r", 6))
+
+
+@query(f"SELECT user_id, min(_time) AS _start_time, max(_time) AS _end_time, count(*) AS n FROM {EV} GROUP BY user_id")
+def group_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).query("SELECT user_id, _start_time, _end_time, COUNT(*) AS n FROM events GROUP BY user_id")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 5.0::DOUBLE)) AS t(id, v)")
+def constraint_on_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.storage import ConstraintError
+
+    s = stored(spark, sf_dir)
+    s.create_function("positive", lambda v: v is not None and v > 0, "boolean")
+    s.execute("CREATE TABLE t (id BIGINT, v DOUBLE PRECISION)")
+    s.execute("ALTER TABLE t ADD CONSTRAINT above USING positive")
+    s.execute("INSERT INTO t (id, v) VALUES (1, 5.0)")
+    for bad in ("(2, -1.0)", "(3, NULL)"):
+        try:
+            s.execute(f"INSERT INTO t (id, v) VALUES {bad}")
+        except ConstraintError:
+            continue
+        raise AssertionError(f"a row that breaks the constraint was taken: {bad}")
+    return s.query("SELECT * FROM t")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 10.0::DOUBLE, NULL::DOUBLE), (2, 20.0, NULL), (1, NULL, 21.0), (2, NULL, 31.0)) AS t(_time, v, more)")
+def calculate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stored(spark, sf_dir)
+    s.store.ingest("m.time", [{"_time": 1, "v": 10.0}, {"_time": 2, "v": 20.0}])
+    s.execute("CALCULATE more AS WITH a AS (SELECT _time, v + (SELECT max(n_nationkey) FROM nation) - 13 AS x FROM m.time) SELECT _time, x FROM a")
+    return s.query("SELECT * FROM m.time")

@@ -23,14 +23,15 @@ class Session:
 
     def __init__(self, spark: SparkSession, root: str | None = None, order: str = "_time"):
         self.spark, self.order = spark, order
-        self.store = Store(spark, root) if root else None
         self.kv: dict[str, KeyValueStore] = {}
         self.frames: dict[str, str] = {}
         self.loaders: dict[str, Callable[[], DataFrame]] = {}
         self.keys: dict[str, str] = {}
         self.view_texts: dict[str, str] = {}
         self.ctes: dict[str, str] = {}
+        self.cte_tables: dict[str, str] = {}
         self.udfs: dict[str, UserFunction] = {}
+        self.store = Store(spark, root, self.udfs) if root else None
         self.table_functions: dict[str, Callable[..., DataFrame]] = {}
         self.vector_indexes: dict[str, VectorIndex] = {}
         self.graphs: dict[str, dict] = {}

@@ -12,7 +12,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -33,11 +33,14 @@ class Meta:
     version: str = ""
     #: Folders from before a column's type was widened; each has one schema.
     older: list[str] = field(default_factory=list)
+    #: Folders that the last replacement left to the readers of then; the next one deletes them.
+    retired: list[str] = field(default_factory=list)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, functions: dict | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.functions = {} if functions is None else functions
 
     # files
     def _path(self, *parts: str):
@@ -115,11 +118,19 @@ class Store:
             if not fs.exists(data) or not meta.columns:
                 continue
             found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{self._folder(table)}/{version}")
-            parts.append(found.select(*[(F.col(f"`{c}`").try_cast(k) if c in found.columns else F.lit(None).cast(k)).alias(c) for c, k in meta.columns.items()]))
+            parts.append(found.select(*[self._declared(found, c, k).alias(c) for c, k in meta.columns.items()]))
         if not parts:
             return self.spark.createDataFrame([], schema or "_empty int")
         return functools.reduce(DataFrame.unionAll, parts)
 
+    @staticmethod
+    def _declared(found: DataFrame, name: str, kind: str) -> Column:
+        """The column as it is where its type is the declared one, so that filters reach the scan."""
+        kinds = dict(found.dtypes)
+        if name not in kinds:
+            return F.lit(None).cast(kind)
+        return F.col(f"`{name}`") if kinds[name] == kind else F.col(f"`{name}`").try_cast(kind)
+
     # writes
     def _fit(self, df: DataFrame, meta: Meta) -> DataFrame:
         kinds = dict(df.dtypes)
@@ -133,6 +144,8 @@ class Store:
 
     def _check(self, table: str, rows: DataFrame, meta: Meta, against: DataFrame | None) -> None:
         """One pass over the new rows, and one anti-join with what is there."""
+        for name, function in meta.constraints.items():
+            self._hold(table, rows, name, function)
         keys = meta.primary_key or (["_time"] if meta.time else [])
         if not keys:
             return
@@ -147,6 +160,15 @@ class Store:
             if against is not None and against.join(rows, keys, "left_semi").limit(1).count():
                 raise ConstraintError(f"{table}: the key {', '.join(keys)} is there already")
 
+    def _hold(self, table: str, rows: DataFrame, name: str, function: str) -> None:
+        """Every row has to make the constraint's function true: a function of the columns that its parameters name."""
+        udf = self.functions.get(function.lower())
+        if udf is None:
+            raise ConstraintError(f"{table}: constraint {name} uses {function}, which isn't registered")
+        given = [f"`{c}`" if c in rows.columns else "NULL" for c in udf.parameters]
+        if rows.where(~F.coalesce(F.expr(f"{udf.registered}({', '.join(given)})").cast("boolean"), F.lit(False))).limit(1).count():
+            raise ConstraintError(f"{table}: rows break {name}")
+
     def append(self, table: str, df: DataFrame) -> None:
         meta = self.meta(table)
         before = self.read(table) if meta.primary_key else None
@@ -172,9 +194,9 @@ class Store:
         writer.parquet(self.data(table, meta))
 
     def replace(self, table: str, df: DataFrame, columns: dict[str, str] | None = None) -> None:
-        """New content: written beside the old, then named by the metadata."""
+        """New content: written beside the old, then named by the metadata. The old stays for its readers until the next replacement."""
         meta = self.meta(table)
-        old = [*meta.older, meta.version]
+        gone, meta.retired = meta.retired, [*meta.older, meta.version]
         if columns is not None:
             meta.columns = columns
         rows = self._fit(df, meta)
@@ -182,7 +204,7 @@ class Store:
         meta.version, meta.older = "v-" + uuid.uuid4().hex, []
         self._write(rows, table, meta, "errorifexists")
         self.save_meta(table, meta)
-        for version in old:
+        for version in gone:
             path, fs = self._path(self._folder(table), version)
             fs.delete(path, True)
 
