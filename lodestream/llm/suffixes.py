@@ -12,10 +12,12 @@ document. Two equal strings of 100 bytes have the same least 50-gram by hash, th
 4. marks come back to their texts as merged spans.
 
 Equal texts enter once. An anchor of very many texts is dealt by the hash of each string around it instead, after
-strings that a block of texts repeats within itself are settled there, so no passage gathers in one task.
+strings that a block of texts repeats within itself are settled there: a string comes to its shard once for each block
+of some 4 MB that has it.
 
-Defined results: a null text has 0 bytes; a text under 100 bytes keeps all; of equal texts of 100 bytes or more all but
-the first are removed whole; a null doc_id comes before all others; documents that tie in doc_id follow their text's hash.
+Defined results: a null text has 0 bytes; a text under 100 bytes keeps all; a text of any length is read whole; of equal
+texts of 100 bytes or more all but the first are removed whole; a null doc_id comes before all others; documents that tie
+in doc_id follow their text's hash; an empty table gives an empty table. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import flagged
-from .common import POWERS, checkpointed, mix64, texts
+from .common import POWERS, checkpointed, column, mix64, texts
 
 LENGTH = 100
 GRAM = 50
-HOT = 4096
+#: Places of an anchor beyond which its strings are settled by block first.
+HOT = 1024
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -208,8 +211,8 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _repeated(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a shard's anchors those that occur twice, by text: places, and which of them very many have."""
+def _repeated(key: tuple, table: pa.Table, most: int = HOT) -> pa.Table:
+    """Of a shard's anchors those that occur twice, by text: places, and which of them more than ``most`` have."""
     h, t, p = _joined(table["h"], np.uint64), _joined(table["t"], np.int64), _joined(table["p"], np.uint32)
     order = np.lexsort((p, t, h))
     h, t, p = h[order], t[order], p[order]
@@ -218,7 +221,7 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
     _, inverse, sizes = np.unique(h, return_inverse=True, return_counts=True)
     n = sizes[inverse.reshape(-1)]
     twice = n > 1
-    t, p, hot = t[twice], p[twice], (n[twice] > HOT).astype(np.uint32)
+    t, p, hot = t[twice], p[twice], (n[twice] > most).astype(np.uint32)
     order, cuts = _split(t)
     marked = (p[order] << np.uint32(1) | hot[order]).astype(np.uint32)
     return pa.Table.from_batches([_batch([(s, marked[a:b].tobytes()) for s, a, b in cuts], (pa.int64(), pa.binary()), ["t", "p"])])
@@ -401,7 +404,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chosen(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(__d, text, __t, blobs) of the rows of ``keys`` (__d, __t, blobs), whose texts alone are shuffled."""
-    marked = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("__d"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__t"))
+    content = F.coalesce(column(text), F.lit(""))
+    marked = docs.select(F.coalesce(column(doc_id).cast("long"), F.lit(NULL_ID)).alias("__d"), content.alias("__text"), F.xxhash64(content).alias("__t"))
     rows, spread = flagged(marked, keys.select(F.col("__t").alias("__id")), ["__d", "__text", "__t"], "__t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,24 +420,24 @@ def _chosen(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFra
     return kept.join(keys, ["__d", "__t"]).select("__d", "__text", "__t", "blobs")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    content = F.coalesce(column(text), F.lit(""))
     slim = checkpointed(
         docs.select(
-            F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("__d"),
-            F.col(f"`{doc_id}`").alias("doc_id"),
-            F.xxhash64(column).alias("__t"),
-            F.sha2(column.cast("binary"), 256).alias("__sha"),
-            F.octet_length(column).cast("long").alias("n_bytes"),
+            F.coalesce(column(doc_id).cast("long"), F.lit(NULL_ID)).alias("__d"),
+            column(doc_id).alias("doc_id"),
+            F.xxhash64(content).alias("__t"),
+            F.sha2(content.cast("binary"), 256).alias("__sha"),
+            F.octet_length(content).cast("long").alias("n_bytes"),
         )
     )
     firsts = checkpointed(slim.groupBy("__sha", "__t").agg(F.min("__d").alias("__d"), F.max("n_bytes").alias("__n")))
     total = firsts.agg(F.sum("__n")).first()[0] or 0
     n_shards = max(8, -(-total // SHARD_BYTES))
-    keyed = docs.select(F.xxhash64(column).alias("__t"), column.alias("__text"))
+    keyed = docs.select(F.xxhash64(content).alias("__t"), content.alias("__text"))
     anchors = keyed.mapInArrow(lambda batches: _anchors(batches, n_shards), "shard long, h binary, t binary, p binary")
-    places = anchors.groupBy("shard").applyInArrow(_repeated, "t long, p binary")
+    places = anchors.groupBy("shard").applyInArrow(lambda key, table: _repeated(key, table, hot), "t long, p binary")
     by_text = places.groupBy(F.col("t").alias("__t")).agg(F.collect_list("p").alias("blobs"))
     wanted = checkpointed(by_text.join(firsts.select("__t", "__d"), "__t").select("__d", "__t", "blobs"))
     runs = _chosen(docs, wanted, doc_id, text).mapInArrow(lambda batches: _runs(batches, n_shards), RUN_TYPE)
