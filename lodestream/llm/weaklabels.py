@@ -44,6 +44,7 @@ INSULTS = {
     "es": "idiota idiotas imbécil estúpido estúpida basura patético escoria asqueroso inútil",
 }
 _INSULTS = frozenset(w for ws in INSULTS.values() for w in ws.split())
+_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _MARKS = b"#*$%&|<>=~^_\\{}[]@+"
 GOOD, BAD, NOTHING = 1, 0, 2
 #: The most that a labeller is taken to call bad among good documents.
@@ -54,31 +55,54 @@ def _vote(bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else NOTHING
 
 
+class _Words(dict):
+    """What is asked of a word, kept for the words seen lately: its plain form and bucket, and whether it is in capitals, without letters, a stop word, an insult, marked."""
+
+    LIMIT, BYTES = 400_000, 100_000_000
+
+    def __init__(self) -> None:
+        self.held = 0
+
+    def __missing__(self, w: bytes) -> tuple:
+        if len(self) > self.LIMIT or self.held > self.BYTES:
+            self.clear()
+            self.held = 0
+        plain = decoded(w).strip(".,;:!?\"'()*#$%&|<>").lower()
+        capitals = len(w) > 2 and w[:3].isupper()
+        no_letters = len(w.translate(None, _LETTERS)) == len(w)
+        flags = capitals | no_letters << 1 | (plain in _STOP) << 2 | (plain in _INSULTS) << 3 | (len(w.translate(None, _MARKS)) < len(w)) << 4
+        self[w] = got = (plain, 16 + xxhash.xxh3_64_intdigest(plain) % (BUCKETS - 16), int(flags))
+        self.held += 2 * len(w) + 200
+        return got
+
+
+_KNOWN = _Words()
+
+
 class View:
     """What labellers and features look at, made once for a text."""
 
     def __init__(self, raw: bytes, learned: frozenset[str] = frozenset()):
-        self.words = raw.split()
-        self.n = max(1, len(self.words))
-        self.sizes = Counter(self.words)
+        words = raw.split()
+        self.n = max(1, len(words))
+        sizes = Counter(words)
+        known = list(map(_KNOWN.__getitem__, sizes))
+        self.amounts = np.fromiter(sizes.values(), np.int64, len(sizes))
+        self.buckets = np.fromiter([k[1] for k in known], np.int64, len(known))
+        flags = np.fromiter([k[2] for k in known], np.int64, len(known))
+        share = lambda bit: float(self.amounts[flags >> bit & 1 == 1].sum()) / self.n
         letters = len(raw.translate(None, SPACES)) or 1
         self.marks = (len(raw) - len(raw.translate(None, _MARKS))) / letters
         self.shouts = raw.count(b"!") / self.n
-        self.capitals = sum(n for w, n in self.sizes.items() if len(w) > 2 and w[:3].isupper()) / self.n
-        self.no_letters = sum(n for w, n in self.sizes.items() if not any(c >= 0x80 or 65 <= c <= 90 or 97 <= c <= 122 for c in w)) / self.n
-        plain = [(decoded(w).strip(".,;:!?\"'()*#$%&|<>").lower(), n) for w, n in self.sizes.items()]
-        self.plain = plain
-        self.stops = sum(n for w, n in plain if w in _STOP) / self.n
-        self.insults = sum(n for w, n in plain if w in _INSULTS)
-        found = [w for w, _ in plain if w in learned] if learned else []
+        self.capitals, self.no_letters, self.stops, self.marked = share(0), share(1), share(2), share(4)
+        self.insults = int(self.amounts[flags >> 3 & 1 == 1].sum())
+        found = [k[0] for k in known if k[0] in learned] if learned else []
         self.learned = len(found)
         # Two labellers have a half of the learned words each.
         self.halves = [sum(zlib.crc32(w.encode()) % 2 == k for w in found) if learned else None for k in (0, 1)]
-        top = self.sizes.most_common(1)
-        self.top = top[0][1] / self.n if top else 0.0
-        self.distinct = len(self.sizes) / self.n
-        self.pairs = len(set(zip(self.words, self.words[1:], strict=False))) / self.n
-        self.marked = sum(n for w, n in self.sizes.items() if len(w.translate(None, _MARKS)) < len(w)) / self.n
+        self.top = int(self.amounts.max(initial=0)) / self.n
+        self.distinct = len(sizes) / self.n
+        self.pairs = len(set(zip(words, words[1:], strict=False))) / self.n
 
 
 #: Labellers by task; each gives GOOD, BAD or NOTHING.
@@ -149,26 +173,12 @@ def fit_labels(counts: dict[str, int], rounds: int = 100) -> LabelModel:
     return model
 
 
-class _Buckets(dict):
-    LIMIT = 300_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        self[word] = got = 16 + xxhash.xxh3_64_intdigest(word) % (BUCKETS - 16)
-        return got
-
-
-_BUCKETS = _Buckets()
-
-
 def features(view: View) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: shares of the text by measure, and a hashed bag of words and word endings by share."""
     shares = [1.0, 4 * view.marks, view.shouts, view.capitals, 2 * view.no_letters, 2 * view.stops, view.top, view.distinct, min(1.0, view.n / 50), min(1.0, 50.0 * view.insults / view.n), min(1.0, 20.0 * view.learned / view.n)]
-    ids = np.fromiter((_BUCKETS[w] for w, _ in view.plain), np.int64, len(view.plain))
-    amounts = np.fromiter((n for _, n in view.plain), float, len(view.plain))
+    amounts = view.amounts.astype(float)
     norm = np.sqrt((amounts**2).sum()) or 1.0
-    return np.concatenate((np.arange(len(shares)), ids)), np.concatenate((shares, amounts / norm))
+    return np.concatenate((np.arange(len(shares)), view.buckets)), np.concatenate((shares, amounts / norm))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
