@@ -170,3 +170,48 @@ def calculate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.store.ingest("m.time", [{"_time": 1, "v": 10.0}, {"_time": 2, "v": 20.0}])
     s.execute("CALCULATE more AS WITH a AS (SELECT _time, v + (SELECT max(n_nationkey) FROM nation) - 13 AS x FROM m.time) SELECT _time, x FROM a")
     return s.query("SELECT * FROM m.time")
+
+
+# graphs that are written node by node
+def _known(spark: SparkSession, sf_dir: str):
+    s = stored(spark, sf_dir)
+    s.execute("CREATE GRAPH know NODES(Tool KEY(name)) EDGES(Calls FROM Tool TO Tool) USING GRAPHSTORE")
+    s.execute("BEGIN GRAPH know")
+    for k, name in enumerate(("planner", "tool", "executor")):
+        s.execute(f"INSERT NODE Tool KEY '{name}' AS {k}")
+    s.execute("INSERT EDGE 0 -> 1 ETYPE 2")
+    s.execute("COMMIT")
+    s.execute("BEGIN GRAPH know")
+    s.execute("INSERT EDGE 1 -> 2")
+    s.execute("INSERT EDGE 1 -> 2 GRAPH know")
+    s.execute("COMMIT")
+    s.execute("BEGIN GRAPH know")
+    s.execute("INSERT EDGE 2 -> 0")
+    s.execute("ABORT")
+    s.execute("GC GRAPH know")
+    return s
+
+
+@query("SELECT * FROM (VALUES ('tool', 'planner', 1), ('executor', 'tool', 2)) AS t(node_id, prev_id, hop)")
+def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known(spark, sf_dir).query("SELECT node_id, prev_id, hop FROM graph_neighbors('know', 'Tool:planner', 'Calls', 2) AS g")
+
+
+@query("SELECT 'know' AS name, 3::BIGINT AS nodes, 2::BIGINT AS edges")
+def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known(spark, sf_dir).execute("SHOW GRAPH STATUS know")
+
+
+@query("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name}) AS value FROM nation")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import json_rows
+
+    return json_rows(session(spark, sf_dir).query("SELECT n_nationkey, n_name FROM nation"))
+
+
+@query(f"SELECT event_id, value FROM {EV} WHERE _time BETWEEN 1704412800000 AND 1704542400000")
+def ranged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and a range of time of a stored time table: both reach the scan."""
+    s = stored(spark, sf_dir)
+    s.store.into("ev.time", table(spark, sf_dir, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("_time"), "event_id", "value"))
+    return s.query("SELECT event_id, value FROM ev.time WHERE _time BETWEEN '2024-01-05' AND '2024-01-06T12:00:00Z'")

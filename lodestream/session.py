@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.udf import UserFunction, register
 from .operators.vectors import VectorIndex
+from .sources import graphstore
 from .sources.catalogs import CATALOGS, catalog, oid_of
 from .sources.keyvalue import KeyValueStore
 from .sources.storage import Store
@@ -36,6 +37,7 @@ class Session:
         self.vector_indexes: dict[str, VectorIndex] = {}
         self.graphs: dict[str, dict] = {}
         self.current_graph: str | None = None
+        self.transaction: graphstore.Transaction | None = None
         self.settings = {"database": "main", "schema": "public", "user": "main", "strict.projection": "true"}
         self.into: tuple[str, str] | None = None
         self._id = uuid.uuid4().hex[:8]
@@ -116,6 +118,8 @@ class Session:
 
     def edges(self, name: str | None, kind: str | None) -> tuple[DataFrame, str | None]:
         g = self.graphs[self.short(name or self.current_graph or "")]
+        if "store" in g:
+            return graphstore.edges(self.store, g["store"]), None
         mapping = g["edges"].get((kind or "").lower()) or next(iter(g["edges"].values()))
         df = self.table(mapping["table"])
         columns = [F.col(mapping.get("src", "src")).alias("src"), F.col(mapping.get("dst", "dst")).alias("dst")]

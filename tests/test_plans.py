@@ -33,6 +33,17 @@ def test_filters_reach_the_scan(spark):
     assert "GreaterThan(l_extendedprice" in text and "ReadSchema: struct<l_orderkey" in text and "l_comment" not in text
 
 
+def test_time_ranges_reach_the_scan(spark):
+    text = plan(QUERIES["ranged_scan"](spark, DATA))
+    assert "GreaterThanOrEqual(_time" in text and "LessThanOrEqual(_time" in text
+
+
+def test_table_text(spark):
+    from lodestream.sources.sinks import table_text
+
+    assert table_text(spark.sql("SELECT 1 AS a, 'xyz' AS name UNION ALL SELECT NULL, 'q'")) == "a | name\n1 | xyz\n  | q"
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     from pyspark.sql import functions as F
 
