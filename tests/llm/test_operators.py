@@ -459,7 +459,7 @@ def test_passages_at_the_threshold(spark):
     assert got >= 2 * 399
 
 
-def test_passages_against_brute_force(spark):
+def test_passages_against_brute_force(spark, monkeypatch):
     rng = random.Random(12)
     prose = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
     shared = [prose(56) for _ in range(6)]
@@ -496,6 +496,10 @@ def test_passages_against_brute_force(spark):
     got = {r["doc_id"]: (r["class_id"], r["spans"]) for r in passages.near_passages(docs).collect()}
     assert {k: c for k, (c, _) in got.items()} == {k: find(k) for k in range(len(rows))}
     assert 5 < len({find(k) for k in range(len(rows))}) < 60
+    # Hot tokens are dealt out over salts, and open tokens in many cells.
+    monkeypatch.setattr(passages, "HOT_WINDOWS", 3)
+    monkeypatch.setattr(passages, "CELL_WINDOWS", 4)
+    assert {r["doc_id"]: r["class_id"] for r in passages.near_passages(docs).collect()} == {k: c for k, (c, _) in got.items()}
     for k, (c, spans) in got.items():
         for a, b in (map(int, x.split("-")) for x in spans.split(",") if x):
             assert c != k and 0 <= a and a + 50 <= b <= len(rows[k])
