@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, written
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -108,6 +108,8 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a template that are posted, and of a file that are looked up, by falling IDF.
 TEMPLATE_WORDS, TOP_WORDS = 32, 192
+#: Words of a lower IDF, in more than a third of the templates, aren't posted for a template.
+MIN_IDF = math.log(4)
 #: Offsets within a band of so many words count as one alignment.
 BAND = 32
 MIN_SCORE = 0.6
@@ -126,7 +128,7 @@ def index(templates: list = TEMPLATES, base: dict[str, str] = BASE) -> tuple[lis
     postings: list[tuple] = []
     entries: list[tuple] = []
     for k, (label, _, keys) in enumerate(templates):
-        chosen = set(sorted(set(bodies[k]), key=lambda w: (-idf[w], w))[:TEMPLATE_WORDS])
+        chosen = set(sorted((w for w in set(bodies[k]) if idf[w] >= MIN_IDF), key=lambda w: (-idf[w], w))[:TEMPLATE_WORDS])
         rare = [(p, w) for p, w in enumerate(bodies[k]) if w in chosen]
         postings += [(w, "template", k, p, idf[w]) for p, w in rare]
         entries.append(("template", k, label, sum(idf[w] for _, w in rare), len(keys)))
@@ -151,15 +153,17 @@ def places(texts: DataFrame, templates: list = TEMPLATES, base: dict[str, str] =
     postings, entries = index(templates, base)
     posted = F.broadcast(spark.createDataFrame(postings, "__word string, __kind string, __entry int, __at int, __weight double"))
     known = F.broadcast(spark.createDataFrame(entries, "__kind string, __entry int, __label string, __whole double, __n_keys int"))
-    every = texts.select("__key", F.posexplode(F.regexp_extract_all("__low", F.lit(WORD), F.lit(0))).alias("__pos", "__word"))
-    hits = every.where(F.col("__word").isin(sorted({p[0] for p in postings})))
+    vocabulary = sorted({p[0] for p in postings})
+    parted = texts.select("__key", F.regexp_extract_all("__low", F.lit(WORD), F.lit(0)).alias("__words"))
+    held = parted.withColumn("__held", F.array_intersect("__words", F.array(*map(F.lit, vocabulary))))
+    # One row: how many texts hold each word of the vocabulary.
+    counted = held.select(F.explode("__held").alias("__word")).groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
+    df = F.broadcast(counted.agg(F.map_from_entries(F.collect_list(F.struct("__word", "__df"))).alias("__dfs")))
     # Of every file, its licence words by falling IDF over all texts; phrases look up all theirs.
-    held = hits.select("__key", "__word").distinct()
-    df = F.broadcast(held.groupBy("__word").agg(F.count(F.lit(1)).alias("__df")))
-    ranked = held.join(df, "__word").groupBy("__key").agg(F.slice(F.array_sort(F.collect_list(F.struct("__df", "__word"))), 1, TOP_WORDS).alias("__top"))
-    top = ranked.select("__key", F.explode("__top.__word").alias("__word"), F.lit(True).alias("__is_top"))
-    found = hits.join(top, ["__key", "__word"], "left")
-    aligned = found.join(posted, "__word").where((F.col("__kind") != "template") | F.col("__is_top")).withColumn("__offset", F.col("__pos") - F.col("__at"))
+    ranked = held.join(df).withColumn("__top", F.slice(F.array_sort(F.transform("__held", lambda w: F.struct(F.col("__dfs")[w].alias("n"), w.alias("w")))), 1, TOP_WORDS)["w"])
+    every = ranked.select("__key", "__top", F.posexplode("__words").alias("__pos", "__word"))
+    hits = every.where(F.col("__word").isin(vocabulary)).select("__key", "__pos", "__word", F.array_contains("__top", F.col("__word")).alias("__is_top"))
+    aligned = hits.join(posted, "__word").where((F.col("__kind") != "template") | F.col("__is_top")).withColumn("__offset", F.col("__pos") - F.col("__at"))
     # A template's offsets meet in bands that overlap by half; a phrase's must be equal.
     half = F.floor(F.col("__offset") / F.lit(BAND // 2)).cast("long")
     bands = F.when(F.col("__kind") == "template", F.array(half, half - 1)).otherwise(F.array(F.col("__offset").cast("long")))
@@ -213,7 +217,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     )
     chosen = docs.where(gated).select(F.md5(content.cast("binary")).alias("__key"), F.translate(content, UPPER, LOWER).alias("__low"))
     # Equal texts are taken apart once.
-    single = chosen.groupBy("__key").agg(F.first("__low").alias("__low"))
+    single = written(chosen.groupBy("__key").agg(F.first("__low").alias("__low")))
     found = places(single, templates, base).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return slim.join(found, ["__key", "__salt"], "left").select(
         "doc_id",
