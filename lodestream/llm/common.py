@@ -158,6 +158,38 @@ class Powers:
 POWERS = Powers()
 
 
+#: Texts of the sample that tells hot hashes, how many of them have a hot one at least, and the most hot ones: 0.5 MB.
+SAMPLE_TEXTS, SAMPLE_LEAST, MOST_HOT = 4000, 8, 1 << 16
+
+
+def hot_hashes(keyed: DataFrame, n_texts: int, function: Callable[[bytes], np.ndarray], sample: int | None = None, least: int | None = None) -> np.ndarray:
+    """Hashes that very many texts have, sorted, from a sample of rows (t, text) of ``n_texts`` texts; each stands in two texts or more, surely.
+
+    What is hot only decides which way a hash goes: its rows never gather under one key. The bounds are above.
+    """
+    sample, least = sample or SAMPLE_TEXTS, least or SAMPLE_LEAST
+    chosen = keyed.where(F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n_texts))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                found = np.unique(function(raw)).view(np.int64)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), key, np.int64))], names=["h", "t"])
+
+    counts = chosen.select("t", "text").mapInArrow(run, "h long, t long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    rows = counts.where((F.col("n") >= least) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def among(hashes: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(hashes), bool)
+    place = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
+    return sorted_[place] == hashes
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file, from the folder in LODESTREAM_TOKENIZERS or the installed package."""
     folder = os.environ.get("LODESTREAM_TOKENIZERS")

@@ -16,7 +16,8 @@ under most hash functions.
    links they find. So any two texts with resembling passages that share a least token under any function end in one
    class; a stretch at similarity 0.8 shares none of the eight with a chance of 3e-6.
 
-Tokens of very many windows get their first window by a broadcast of at most HOT_TOKENS rows, and are dealt out over
+Tokens that very many texts of a sample have are known to be shared and aren't dealt out: their texts only send how many
+they have. Tokens of very many windows get their first window by a broadcast of at most HOT_TOKENS rows, and are dealt out over
 salts. What an open token costs is the number of its different windows outside its largest class times all of them, as
 a count in memory.
 
@@ -33,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import by_cell, cells, common_counts, members, outside_largest, shingles
-from .common import POWERS, checkpointed, column, mix64, small_batches, texts, written
+from .common import POWERS, among, checkpointed, column, hot_hashes, mix64, small_batches, texts, written
 from .components import components
 from .suffixes import _batch, _chosen, _joined, _split
 
@@ -50,6 +52,8 @@ SHARD_BYTES = 16_000_000
 HOT_TOKENS, HOT_WINDOWS = 1000, 20_000
 SALTS = 64
 CELL_WINDOWS = 1000
+#: Other bounds of the sample that tells hot tokens than the usual ones.
+HOT_SAMPLE: tuple[int, ...] = ()
 NULL_ID = -(2**63)
 
 
@@ -109,11 +113,18 @@ def _marks(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(32)).astype(np.uint32)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], n_shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blobs by shard: the marks of the different tokens of each text, the texts, and how many marks each has; equal texts of a batch once.
 
-    The highest bit of that number tells a text that repeats so many tokens that fewer marks may make up a stretch.
+    The highest bit of that number tells a text that repeats so many tokens that fewer marks may make up a stretch. Hot
+    tokens are known to be shared and don't travel: shards below 0, by text, hold how many of them a text has.
     """
+    names, kinds = ["shard", "v", "t", "n"], (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def hot_counts(counts: list[tuple[int, int]]) -> pa.RecordBatch:
+        t, n = np.array([x for x, _ in counts], np.int64), np.array([x for _, x in counts], np.uint32)
+        order, cuts = _split((t.view(np.uint64) % np.uint64(n_shards)).astype(np.int64))
+        return _batch([(-1 - s, b"", t[order[a:b]].tobytes(), n[order[a:b]].tobytes()) for s, a, b in cuts], kinds, names)
 
     def flush(parts: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
         every = np.concatenate([x for _, x, _ in parts])
@@ -126,10 +137,10 @@ def _tokens(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.Rec
         for shard, a, b in cuts:
             of, n = np.unique(owner[a:b], return_counts=True)
             rows.append((shard, marks[a:b].tobytes(), keys[of].tobytes(), (n.astype(np.uint32) | flags[of]).tobytes()))
-        return _batch(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "v", "t", "n"])
+        return _batch(rows, kinds, names)
 
     for batch in batches:
-        parts, size, seen = [], 0, set()
+        parts, size, seen, counts = [], 0, set(), []
         for key, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             if key in seen:
                 continue
@@ -138,17 +149,25 @@ def _tokens(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.Rec
             if len(tokens) < TOKENS:
                 continue
             different = np.unique(tokens)
-            parts.append((key, different, len(tokens) - len(different) > TOKENS - needed()))
+            known, again = among(different, hot), len(tokens) - len(different) > TOKENS - needed()
+            if known.any():
+                counts.append((key, needed() if again else int(known.sum())))
+            parts.append((key, different[~known], again))
             size += len(raw)
             if size > BLOCK_BYTES:
                 yield flush(parts)
                 parts, size = [], 0
         if parts:
             yield flush(parts)
+        if counts:
+            yield hot_counts(counts)
 
 
 def _shared(key: tuple, table: pa.Table, n_shards: int) -> pa.Table:
-    """Of a shard's marks those that two different texts have, as blobs by shard of the texts."""
+    """Of a shard's marks those that two different texts have, as blobs by shard of the texts; counts of hot tokens go on."""
+    names, kinds = ["shard", "v", "t", "n", "hot"], (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+    if key[0].as_py() < 0:
+        return pa.Table.from_batches([_batch([(-1 - key[0].as_py(), b"", b"".join(table["t"].to_pylist()), b"".join(table["n"].to_pylist()), True)], kinds, names)])
     v, t, n = _joined(table["v"], np.uint32), _joined(table["t"], np.int64), _joined(table["n"], np.uint32)
     again = n >> np.uint32(31) > 0
     owner = np.repeat(np.arange(len(t)), n & np.uint32(2**31 - 1))
@@ -167,17 +186,21 @@ def _shared(key: tuple, table: pa.Table, n_shards: int) -> pa.Table:
     rows = []
     for shard, a, b in cuts:
         at = by_text[a:b]
-        rows.append((shard, b"".join([marks[x:y].tobytes() for x, y in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]), found[at].tobytes(), (counts[at].astype(np.uint32) | flags[at]).tobytes()))
-    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "v", "t", "n"])])
+        rows.append((shard, b"".join([marks[x:y].tobytes() for x, y in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]), found[at].tobytes(), (counts[at].astype(np.uint32) | flags[at]).tobytes(), False))
+    return pa.Table.from_batches([_batch(rows, kinds, names)])
 
 
 def _by_text(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a shard of texts those that have enough shared marks, or repeat tokens, and their marks."""
-    v, t, n = _joined(table["v"], np.uint32), _joined(table["t"], np.int64), _joined(table["n"], np.uint32)
+    """Of a shard of texts those that have enough shared marks and hot tokens, or repeat tokens, and their marks."""
+    warm, hot = table.filter(pc.invert(table["hot"])), table.filter(table["hot"])
+    v, t, n = _joined(warm["v"], np.uint32), _joined(warm["t"], np.int64), _joined(warm["n"], np.uint32)
+    hot_t, hot_n = _joined(hot["t"], np.int64), _joined(hot["n"], np.uint32)
     again, n = n >> np.uint32(31) > 0, (n & np.uint32(2**31 - 1)).astype(np.int64)
-    texts_, of = np.unique(t, return_inverse=True)
-    of = of.reshape(-1)
-    enough = (np.bincount(of, n, len(texts_)) >= needed()) | (np.bincount(of, again, len(texts_)) > 0)
+    texts_, of = np.unique(np.concatenate((t, hot_t)), return_inverse=True)
+    of, of_hot = of.reshape(-1)[: len(t)], of.reshape(-1)[len(t) :]
+    # Equal texts of several batches count alike, at least.
+    enough = np.bincount(of, n, len(texts_)) + np.bincount(of_hot, hot_n, len(texts_)) >= needed()
+    enough |= np.bincount(of, again, len(texts_)) > 0
     order = np.argsort(of, kind="stable")
     starts = np.cumsum(n) - n
     edges = np.searchsorted(of[order], np.arange(len(texts_) + 1))
@@ -230,7 +253,7 @@ def _windows(tokens: np.ndarray, between: np.ndarray, starts: np.ndarray) -> tup
     return every[order], area[order]
 
 
-def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _areas(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(d, t, tokens, places, windows) of each text with areas: their tokens, a place between them after each, the first token of each area there and in the text, and windows."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -260,7 +283,7 @@ def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for doc, raw, key, blob in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             tokens = shingles(raw)
-            found = areas(np.isin(_marks(tokens), np.frombuffer(b"".join(blob), np.uint32)))
+            found = areas(np.isin(_marks(tokens), np.frombuffer(b"".join(blob), np.uint32)) | among(tokens, hot))
             if found:
                 held.append((doc, key, tokens, found))
                 size += 8 * len(tokens)
@@ -556,14 +579,15 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     total = firsts.agg(F.sum("n")).first()[0] or 0
     n_shards = max(8, -(-total // SHARD_BYTES))
     keyed = docs.select(F.xxhash64(content).alias("t"), content.alias("text"))
-    blobs = keyed.mapInArrow(lambda batches: _tokens(batches, n_shards), "shard long, v binary, t binary, n binary")
-    replies = blobs.groupBy("shard").applyInArrow(lambda key, table: _shared(key, table, n_shards), "shard long, v binary, t binary, n binary")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(keyed, firsts.count(), shingles, *HOT_SAMPLE))
+    blobs = keyed.mapInArrow(lambda batches: _tokens(batches, n_shards, hot.value), "shard long, v binary, t binary, n binary")
+    replies = blobs.groupBy("shard").applyInArrow(lambda key, table: _shared(key, table, n_shards), "shard long, v binary, t binary, n binary, hot boolean")
     marks = replies.groupBy("shard").applyInArrow(_by_text, "__t long, blobs array<binary>")
     wanted = marks.join(firsts.select(F.col("t").alias("__t"), F.col("d").alias("__d")), "__t")
     wanted = checkpointed(wanted.select("__d", "__t", "blobs"))
     with small_batches(docs.sparkSession):
         chosen = _chosen(docs, wanted, doc_id, text).dropDuplicates(["__d", "__t"])
-        found = chosen.mapInArrow(_areas, "d long, t long, tokens binary, places binary, windows binary")
+        found = chosen.mapInArrow(lambda batches: _areas(batches, hot.value), "d long, t long, tokens binary, places binary, windows binary")
         held = written(found.withColumn("k", F.monotonically_increasing_id()))
         links = _star_links(held)
         roots = components(links.select("u", "v")).select(F.col("node").alias("k"), "root")
