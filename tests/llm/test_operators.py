@@ -386,6 +386,9 @@ def test_suffixes_with_hot_anchors(docs):
     plain = sorted(map(str, suffixes.without_repeats(docs).collect()))
     # Every anchor with more than two places goes the way of hot ones.
     assert sorted(map(str, suffixes.without_repeats(docs, hot=2).collect())) == plain
+    # Every anchor that two texts have is known beforehand, or every one that six have.
+    for least in (2, 6):
+        assert sorted(map(str, suffixes.without_repeats(docs, sample=10**6, least=least).collect())) == plain
 
 
 def test_sort_of_suffixes():
@@ -499,6 +502,7 @@ def test_passages_against_brute_force(spark, monkeypatch):
     # Hot tokens are dealt out over salts, and open tokens in many cells.
     monkeypatch.setattr(passages, "HOT_WINDOWS", 3)
     monkeypatch.setattr(passages, "CELL_WINDOWS", 4)
+    monkeypatch.setattr(passages, "HOT_SAMPLE", (10**6, 3))
     assert {r["doc_id"]: r["class_id"] for r in passages.near_passages(docs).collect()} == {k: c for k, (c, _) in got.items()}
     for k, (c, spans) in got.items():
         for a, b in (map(int, x.split("-")) for x in spans.split(",") if x):
