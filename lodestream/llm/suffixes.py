@@ -12,9 +12,8 @@ document. Two equal strings of 100 bytes have the same least 50-gram by hash, th
 4. marks come back to their texts as merged spans.
 
 Equal texts enter once. An anchor of very many texts is dealt by the hash of each string around it instead, after
-strings that a block of texts repeats within itself are settled there; then those of one salt meet, and a string comes to
-its shard at most once for each salt. Anchors that very many texts of a sample have are known to be hot beforehand, and
-their places don't gather to be counted.
+strings that a block of texts repeats within itself are settled there: a string comes to its shard once for each block
+of some 4 MB that has it.
 
 Defined results: a null text has 0 bytes; a text under 100 bytes keeps all; a text of any length is read whole; of equal
 texts of 100 bytes or more all but the first are removed whole; a null doc_id comes before all others; documents that tie
@@ -33,13 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import flagged
-from .common import POWERS, among, checkpointed, column, hot_hashes, mix64, texts, written
+from .common import POWERS, checkpointed, column, mix64, texts
 
 LENGTH = 100
 GRAM = 50
 #: Places of an anchor beyond which its strings are settled by block first.
-HOT = 1024
-SALTS = 64
+HOT = 4096
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -165,10 +163,6 @@ def anchor_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return found[place[first]], place[first], first, last
 
 
-def anchor_hashes(raw: bytes) -> np.ndarray:
-    return anchor_runs(raw)[0] if len(raw) >= LENGTH else np.zeros(0, np.uint64)
-
-
 def _split(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     # Numbers of 16 bits are sorted by radix.
     order = np.argsort(shard.astype(np.uint16) if len(shard) and 0 <= shard.min() and shard.max() < 1 << 16 else shard, kind="stable")
@@ -178,8 +172,8 @@ def _split(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(int(sorted_[a]), int(a), int(b)) for a, b in zip(edges, ends, strict=True)]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], n_shards: int, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blobs of (hash, text, place) by shard; equal texts of a block once. Texts with anchors that are ``known`` to be hot go to shards below 0, by text."""
+def _anchors(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
+    """Blobs of (hash, text, place) by shard; equal texts of a block once."""
 
     def flush(parts: list) -> pa.RecordBatch | None:
         if not parts:
@@ -192,30 +186,20 @@ def _anchors(batches: Iterator[pa.RecordBatch], n_shards: int, known: np.ndarray
         rows = [(s, h[a:b].tobytes(), text[a:b].tobytes(), place[a:b].tobytes()) for s, a, b in cuts]
         return _batch(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "h", "t", "p"])
 
-    def hot_texts(keys: list[int]) -> pa.RecordBatch:
-        t = np.array(keys, np.int64)
-        order, cuts = _split((t.view(np.uint64) % np.uint64(n_shards)).astype(np.int64))
-        return _batch([(-1 - s, b"", t[order[a:b]].tobytes(), b"") for s, a, b in cuts], (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "h", "t", "p"])
-
     for batch in batches:
-        parts, size, seen, hot = [], 0, set(), []
+        parts, size, seen = [], 0, set()
         for key, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             if len(raw) < LENGTH or key in seen:
                 continue
             seen.add(key)
             h, place, _, _ = anchor_runs(raw)
-            is_known = among(h, known)
-            if is_known.any():
-                hot.append(key)
-            parts.append((h[~is_known], place[~is_known], key))
+            parts.append((h, place, key))
             size += len(raw)
             if size > BLOCK_BYTES:
                 yield flush(parts)
                 parts, size = [], 0
         if parts:
             yield flush(parts)
-        if hot:
-            yield hot_texts(hot)
 
 
 def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
@@ -230,8 +214,6 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 def _repeated(key: tuple, table: pa.Table, most: int = HOT) -> pa.Table:
     """Of a shard's anchors those that occur twice, by text: places, and which of them more than ``most`` have."""
     h, t, p = _joined(table["h"], np.uint64), _joined(table["t"], np.int64), _joined(table["p"], np.uint32)
-    if key[0].as_py() < 0:  # texts with known hot anchors
-        return pa.Table.from_batches([_batch([(x, b"") for x in np.unique(t).tolist()], (pa.int64(), pa.binary()), ["t", "p"])])
     order = np.lexsort((p, t, h))
     h, t, p = h[order], t[order], p[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1]))) if len(h) else np.zeros(0, bool)
@@ -252,8 +234,8 @@ _RUN_KINDS = (pa.int64(), pa.bool_(), *[pa.binary()] * 7)
 _FORM = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], n_shards: int, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs around repeated anchors, and their bytes, as blobs by shard; single strings at hot anchors in shards below 0, salted by block."""
+def _runs(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
+    """Runs around repeated anchors, and their bytes, as blobs by shard."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate([p[k] for p in parts]).astype(kind) for k, kind in enumerate(_FORM)]
@@ -264,13 +246,8 @@ def _runs(batches: Iterator[pa.RecordBatch], n_shards: int, known: np.ndarray) -
             settled, alone, alone_bodies = _settle([x[hot] for x in columns], [b for b, x in zip(bodies, hot, strict=True) if x])
             if len(settled[0]):
                 rows.append((int(settled[2][0] % n_shards), True, *(x.tobytes() for x in settled), b""))
-            bodies = [b for b, x in zip(bodies, hot, strict=True) if not x]
-            columns = [x[~hot] for x in columns]
-            salt = int(alone[2][0] % SALTS) if len(alone[2]) else 0
-            order, cuts = _split((alone[0] % np.uint64(n_shards)).astype(np.int64))
-            for shard, a, b in cuts:
-                at = order[a:b]
-                rows.append((-1 - (shard * SALTS + salt), False, *(x[at].tobytes() for x in alone), b"".join(alone_bodies[k] for k in at)))
+            bodies = [b for b, x in zip(bodies, hot, strict=True) if not x] + alone_bodies
+            columns = [np.concatenate((x[~hot], y)) for x, y in zip(columns, alone, strict=True)]
         order, cuts = _split((columns[0] % np.uint64(n_shards)).astype(np.int64))
         for shard, a, b in cuts:
             at = order[a:b]
@@ -285,9 +262,8 @@ def _runs(batches: Iterator[pa.RecordBatch], n_shards: int, known: np.ndarray) -
                 continue
             marked = np.frombuffer(b"".join(blob), np.uint32)
             h, place, first, last = anchor_runs(raw)
-            is_known = among(h, known)
-            wanted = np.isin(place, marked >> np.uint32(1)) | is_known
-            hot = (np.isin(place, (marked >> np.uint32(1))[marked & np.uint32(1) == 1]) | is_known)[wanted]
+            wanted = np.isin(place, marked >> np.uint32(1))
+            hot = np.isin(place, (marked >> np.uint32(1))[marked & np.uint32(1) == 1])[wanted]
             h, place, first, last = h[wanted], place[wanted], first[wanted], last[wanted]
             n = len(h)
             if not n:
@@ -331,31 +307,6 @@ def _settle(columns: list[np.ndarray], bodies: list[bytes]) -> tuple[list, list,
     return single(order[again]), single(alone), [raw[a : a + LENGTH] for a in starts[alone].tolist()]
 
 
-def _presettled(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one salt's single strings those that an earlier one equals, as settled, and the others, for their shard."""
-    columns = [_joined(table[c], kind) for c, kind in zip("gdtsno", _FORM, strict=True)]
-    body = b"".join(table["body"].to_pylist())
-    bodies = [body[k : k + LENGTH] for k in range(0, len(body), LENGTH)]
-    settled, alone, alone_bodies = _settle_singles(columns, bodies)
-    shard = (-1 - key[0].as_py()) // SALTS
-    rows = [(shard, True, *(x.tobytes() for x in settled), b"")] if len(settled[0]) else []
-    if len(alone[0]):
-        rows.append((shard, False, *(x.tobytes() for x in alone), b"".join(alone_bodies)))
-    return pa.Table.from_batches([_batch(rows, _RUN_KINDS, RUN_COLUMNS)])
-
-
-def _settle_singles(columns: list[np.ndarray], bodies: list[bytes]) -> tuple[list, list, list[bytes]]:
-    """As ``_settle``, of single strings that are grouped by their own hash already."""
-    g, d, t, s, _, _ = columns
-    buffer = np.frombuffer(b"".join(bodies), np.uint8)
-    starts = np.arange(len(bodies), dtype=np.int64) * LENGTH
-    order = np.lexsort((s, t, d, g))
-    again = repeats(buffer, starts[order], g[order])
-    pick = lambda at: [x[at] for x in columns]
-    alone = order[~again]
-    return pick(order[again]), pick(alone), [bodies[k] for k in alone.tolist()]
-
-
 def _spans(starts: np.ndarray) -> np.ndarray:
     """Sorted different starts as (first, last) runs."""
     if not len(starts):
@@ -394,8 +345,8 @@ def _slices(sorted_groups: np.ndarray, weights: np.ndarray, most: int) -> Iterat
 SORTED_STRINGS = 150_000
 
 
-def _marks(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a shard's runs the strings that also start earlier, by text, as (first start, last start) pairs."""
+def _marks(key: tuple, table: pa.Table, n_shards: int) -> pa.Table:
+    """Of a shard's runs the strings that also start earlier, by text, as (first start, last start) pairs, in blobs by shard of the texts."""
     kept, done = table.filter(pc.invert(table["settled"])), table.filter(table["settled"])
     columns = [_joined(kept[c], kind) for c, kind in zip("gdtsno", _FORM, strict=True)]
     body = b"".join(kept["body"].to_pylist())
@@ -424,7 +375,28 @@ def _marks(key: tuple, table: pa.Table) -> pa.Table:
         hit = repeats(buffer, starts, group)
         found.append((d[hit], t[hit], where[hit].astype(np.uint32)))
     rows = _by_text(*(np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3)))
-    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.int64(), pa.binary()), ["d", "t", "m"])])
+    # One row for each shard of texts, not for each text.
+    t = np.array([x[1] for x in rows], np.int64)
+    order, cuts = _split((t.view(np.uint64) % np.uint64(n_shards)).astype(np.int64))
+    out = []
+    for shard, a, b in cuts:
+        mine = [rows[k] for k in order[a:b].tolist()]
+        out.append((shard, np.array([x[0] for x in mine], np.int64).tobytes(), t[order[a:b]].tobytes(), np.array([len(x[2]) for x in mine], np.uint32).tobytes(), b"".join(x[2] for x in mine)))
+    return pa.Table.from_batches([_batch(out, (pa.int64(), *[pa.binary()] * 4), ["shard", "d", "t", "n", "m"])])
+
+
+def _gathered(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a shard of texts the marks of each."""
+    d, t, n = _joined(table["d"], np.int64), _joined(table["t"], np.int64), _joined(table["n"], np.uint32).astype(np.int64)
+    m = b"".join(table["m"].to_pylist())
+    ends = np.cumsum(n)
+    order = np.lexsort((d, t))
+    edges = np.flatnonzero(np.concatenate(([True], (t[order[1:]] != t[order[:-1]]) | (d[order[1:]] != d[order[:-1]])))).tolist()
+    rows = []
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        parts = order[a:b].tolist()
+        rows.append((int(d[parts[0]]), int(t[parts[0]]), [b"".join([m[ends[k] - n[k] : ends[k]] for k in parts])]))
+    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.int64(), pa.list_(pa.binary())), ["__d", "__t", "blobs"])])
 
 
 def cut_out(raw: bytes, spans: np.ndarray, length: int = LENGTH) -> tuple[int, int, bytes]:
@@ -469,7 +441,7 @@ def _chosen(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFra
     return kept.join(keys, ["__d", "__t"]).select("__d", "__text", "__t", "blobs")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, sample: int | None = None, least: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     content = F.coalesce(column(text), F.lit(""))
     slim = checkpointed(
@@ -484,18 +456,15 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = checkpointed(slim.groupBy("__sha", "__t").agg(F.min("__d").alias("__d"), F.max("n_bytes").alias("__n")))
     total = firsts.agg(F.sum("__n")).first()[0] or 0
     n_shards = max(8, -(-total // SHARD_BYTES))
-    keyed = docs.select(F.xxhash64(content).alias("t"), content.alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(hot_hashes(keyed, firsts.count(), anchor_hashes, sample, least))
-    anchors = keyed.mapInArrow(lambda batches: _anchors(batches, n_shards, known.value), "shard long, h binary, t binary, p binary")
+    keyed = docs.select(F.xxhash64(content).alias("__t"), content.alias("__text"))
+    anchors = keyed.mapInArrow(lambda batches: _anchors(batches, n_shards), "shard long, h binary, t binary, p binary")
     places = anchors.groupBy("shard").applyInArrow(lambda key, table: _repeated(key, table, hot), "t long, p binary")
     by_text = places.groupBy(F.col("t").alias("__t")).agg(F.collect_list("p").alias("blobs"))
     wanted = checkpointed(by_text.join(firsts.select("__t", "__d"), "__t").select("__d", "__t", "blobs"))
     chosen = _chosen(docs, wanted, doc_id, text).dropDuplicates(["__d", "__t"])
-    runs = written(chosen.mapInArrow(lambda batches: _runs(batches, n_shards, known.value), RUN_TYPE))
-    # Single strings at hot anchors meet by salt first: as many of each come to its shard as there are salts, at most.
-    singles = runs.where("shard < 0").groupBy("shard").applyInArrow(_presettled, RUN_TYPE)
-    marks = runs.where("shard >= 0").unionAll(singles).groupBy("shard").applyInArrow(_marks, "d long, t long, m binary")
-    spans = checkpointed(marks.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list("m").alias("blobs")))
+    runs = chosen.mapInArrow(lambda batches: _runs(batches, n_shards), RUN_TYPE)
+    marks = runs.groupBy("shard").applyInArrow(lambda key, table: _marks(key, table, n_shards), "shard long, d binary, t binary, n binary, m binary")
+    spans = checkpointed(marks.groupBy("shard").applyInArrow(_gathered, "__d long, __t long, blobs array<binary>"))
     removed = _chosen(docs, spans, doc_id, text).mapInArrow(_removed, "__d long, __t long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["__d", "__t"])
     # Of equal texts one row is first: by id, and among rows equal in id too any one.
     found = slim.join(firsts.select("__sha", F.col("__d").alias("__first")), "__sha")
