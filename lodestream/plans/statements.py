@@ -24,6 +24,9 @@ dialect("all_distinct", "SELECT n_nationkey FROM nation WHERE n_nationkey <> ALL
 dialect("pattern_slice", "SELECT p_partkey, p_brand['#':] AS a, p_brand[:'#'] AS b FROM part", "SELECT p_partkey, substr(p_brand, strpos(p_brand, '#')) AS a, left(p_brand, strpos(p_brand, '#') - 1) AS b FROM part")
 dialect("iso_literals", "SELECT event_id FROM events WHERE _time BETWEEN '2024-01-05' AND '2024-01-06T12:00:00Z'", f"SELECT event_id FROM {EV} WHERE _time BETWEEN 1704412800000 AND 1704542400000")
 
+dialect("join_row_number", "SELECT o.o_orderkey, c.c_name, ROW_NUMBER() OVER (ORDER BY c.c_acctbal DESC, o_orderkey) AS rn FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 100000", "SELECT o.o_orderkey, c.c_name, row_number() OVER (ORDER BY c.c_acctbal DESC NULLS LAST, o_orderkey) AS rn FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 100000")
+dialect("join_quantile", "SELECT n.n_name, QUANTILE(c.c_acctbal, 75) AS q, count(*) AS n FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", "SELECT n.n_name, list_sort(list(c.c_acctbal))[1 + CAST(floor(0.75 * (count(c.c_acctbal) - 1) + 0.5) AS INT)] AS q, count(*) AS n FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
+
 # catalogues
 dialect("pg_namespace", "SELECT oid, nspname FROM pg_catalog.pg_namespace", "SELECT * FROM (VALUES (11, 'pg_catalog'), (2200, 'public'), (13211, 'information_schema')) AS t(oid, nspname)")
 dialect("pg_type", "SELECT t.typname, t.oid, t.typarray, n.nspname FROM pg_type AS t JOIN pg_namespace AS n ON t.typnamespace = n.oid WHERE t.typname IN ('text', 'int8', 'float8')", "SELECT * FROM (VALUES ('text', 25, 1009, 'pg_catalog'), ('int8', 20, 1016, 'pg_catalog'), ('float8', 701, 1022, 'pg_catalog')) AS t(typname, oid, typarray, nspname)")

@@ -20,7 +20,7 @@ def windows_alone(text):
     return [a for a, b in zip(lines, lines[1:] + [""]) if "Window [" in a and any("SinglePartition" in x for x in lines[lines.index(a) : lines.index(a) + 4])]
 
 
-@pytest.mark.parametrize("name", ["row_number", "any_inequality", "all_inequality", "not_in_subquery", "all_distinct", "agg_quantile", "any_subquery"])
+@pytest.mark.parametrize("name", ["row_number", "any_inequality", "all_inequality", "not_in_subquery", "all_distinct", "agg_quantile", "any_subquery", "join_row_number", "join_quantile"])
 def test_no_single_task(spark, name):
     text = plan(QUERIES[name](spark, DATA))
     assert not windows_alone(text)
