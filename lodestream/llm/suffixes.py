@@ -128,7 +128,18 @@ def repeats(buffer: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: in
     """Which suffixes agree over ``limit`` bytes with one that comes before them in their group (equal hashes are verified)."""
     prefix = Prefix(buffer)
     out = np.zeros(len(starts), bool)
-    order = sort_suffixes(prefix, starts, group, limit)
+    # Equal strings of a group have equal hashes: one whose hash no other has is out, and of those that share one the first is sorted for all.
+    whole = mix64(prefix.hashes(starts, limit)) ^ mix64(group.astype(np.uint64))
+    line = np.argsort(whole, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], whole[line[1:]] != whole[line[:-1]]))) if len(line) else line
+    sizes = np.diff(np.concatenate((edges, [len(line)])))
+    edges, sizes = edges[sizes > 1], sizes[sizes > 1]
+    firsts = line[edges]
+    by_place = np.argsort(firsts)
+    firsts, edges, sizes = firsts[by_place], edges[by_place], sizes[by_place]
+    turn = sort_suffixes(prefix, starts[firsts], group[firsts], limit)
+    edges, sizes = edges[turn], sizes[turn]
+    order = line[np.repeat(edges - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
     a, b = starts[order[:-1]], starts[order[1:]]
     same = (group[order[:-1]] == group[order[1:]]) & (prefix.hashes(a, limit) == prefix.hashes(b, limit))
     at = np.flatnonzero(same)
