@@ -506,6 +506,58 @@ def test_passages_against_brute_force(spark, monkeypatch):
             assert c != k and 0 <= a and a + 50 <= b <= len(rows[k])
 
 
+def test_open_tokens_grow_in_proportion(spark, monkeypatch):
+    rng = random.Random(15)
+    prose = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    line, rows = prose(14), []
+    for k in range(150):  # one line in pairs of texts that have nothing else in common with other pairs
+        words = prose(45) + line + prose(45)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(prose(10) + words + prose(10)))]
+    dealt, cells = [], passages.cells
+
+    def counted(*args):
+        made = cells(*args)
+        dealt.append(made.count())
+        return made
+
+    monkeypatch.setattr(passages, "cells", counted)
+    monkeypatch.setattr(passages, "CELL_WINDOWS", 10)
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(300)}
+    # Each of the line's tokens is open in 150 classes: each window in 15 cells, were they all compared with each other.
+    assert sum(dealt) < 150
+
+
+def test_windows_that_resemble_meet_by_rare_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    pool = rng.integers(1, 2**63, 400).astype(np.uint64)
+    base = [rng.choice(pool[:: 1 + k % 3], 91) for k in range(12)]
+    around = []
+    for k in range(160):
+        piece = base[rng.integers(12)].copy()
+        for _ in range(rng.integers(0, 9)):  # from equal to hardly alike, at other places, some with tokens that repeat
+            piece[rng.integers(91)] = rng.choice(pool[:5]) if k % 2 else rng.integers(1, 2**63)
+        shift = rng.integers(0, 30)
+        around.append(np.roll(piece, shift)[: rng.integers(46, 92)] if k % 5 else piece[shift : shift + 60])
+    around += [np.full(91, pool[0]), np.full(50, pool[0]), np.repeat(pool[:30], 3), np.repeat(pool[:23], 2)]
+    n = len(around)
+    window, token = passages.rarest(around, pool[::7])
+    found = [set(token[window == k].tolist()) for k in range(n)]
+    wanted = {(i, j) for i in range(n) for j in range(i) if passages.passages_of(around[i], around[j])}
+    assert 100 < len(wanted) < n * n // 4
+    assert all(found[i] & found[j] for i, j in wanted)
+    monkeypatch.setattr(passages, "PREFIXED", 0)
+    monkeypatch.setattr(passages, "CELL_WINDOWS", 8)
+    rows = [(k, 7, k, k, 0, k % 9 > 0, x.tobytes()) for k, x in enumerate(around)]
+    dealt = passages._dealt(spark.createDataFrame(rows, "w long, key long, root long, node long, low int, many boolean, around binary"))
+    cells = {}
+    for r in dealt.collect():
+        cells.setdefault((r["key"], r["cell"]), []).append(r["node"])
+    met = {(max(i, j), min(i, j)) for x in cells.values() for i in x for j in x if i != j}
+    # A token's windows go one way or the other, all of them.
+    assert {(i, j) for i, j in wanted if (i % 9 > 0) == (j % 9 > 0)} <= met
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(60):
