@@ -558,6 +558,31 @@ def test_windows_that_resemble_meet_by_rare_tokens(spark, monkeypatch):
     assert {(i, j) for i, j in wanted if (i % 9 > 0) == (j % 9 > 0)} <= met
 
 
+def test_windows_of_many_rare_tokens_meet_once(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    base, rows = rng.integers(1, 2**63, 91).astype(np.uint64), []
+    for k in range(150):  # copies of one class, and other classes with changes here and there
+        piece = base.copy()
+        piece[rng.choice(91, 3 if k < 100 else 12, replace=False)] = rng.integers(1, 2**63, 3 if k < 100 else 12).astype(np.uint64)
+        rows.append((k, 7, 0 if k < 100 else k, k, 0, True, piece.tobytes()))
+    lone = rng.integers(1, 2**63, (40, 91)).astype(np.uint64)  # pairs of classes under another open token, with nothing else in common
+    rows += [(150 + k, 8, 150 + k, 150 + k, 0, True, np.roll(lone[k // 2], k % 2 * 5).tobytes()) for k in range(80)]
+    around = [np.frombuffer(r[-1], np.uint64) for r in rows]
+    root = [r[2] for r in rows]
+    wanted = {(i, j) for i in range(len(rows)) for j in range(i) if root[i] != root[j] and rows[i][1] == rows[j][1] and passages.passages_of(around[i], around[j])}
+    monkeypatch.setattr(passages, "CELL_WINDOWS", 20)
+    dealt = passages._dealt(spark.createDataFrame(rows, "w long, key long, root long, node long, low int, many boolean, around binary")).collect()
+    found = {}
+    for r in dealt:
+        found.setdefault((r["key"], r["cell"]), []).append(r["node"])
+    met = {(max(i, j), min(i, j)) for x in found.values() for i in x for j in x if i != j}
+    assert len(wanted) > 300 and wanted <= met
+    # Of the first token's windows each is in some cells of 20, not in those of each rare token beside it.
+    assert sum(r["node"] < 150 for r in dealt) <= 100 * 3 + 50 * (3 + 5)
+    # Those of the second meet by rare tokens, as this costs less.
+    assert sum(r["node"] >= 150 for r in dealt) == 80
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(60):
