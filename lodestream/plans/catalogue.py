@@ -109,7 +109,7 @@ ORACLES["rolling_stdev"] = f"SELECT event_id, round(stddev_samp(value) OVER (ORD
 
 @query(f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY _time RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW), 4) AS s FROM {EV}")
 def rolling_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = timeseries.rolling(session(spark, sf_dir).table("events"), "1d", {"s": F.sum("value")}, partition_by=["user_id"])
+    made = timeseries.rolling(session(spark, sf_dir).table("events"), "1d", {"s": ("SUM", "value")}, partition_by=["user_id"])
     return made.select("event_id", F.round("s", 4).alias("s"))
 
 
