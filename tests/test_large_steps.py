@@ -55,3 +55,20 @@ def test_rolling_types(spark):
     a, b = (timeseries.rolling(df, 7, x).orderBy("_time") for x in (pairs, plain))
     assert [f.dataType for f in a.schema] == [f.dataType for f in b.schema]
     assert a.collect() == b.collect()
+
+
+def test_rows_of_one_time_come_by_their_place(spark, tmp_path):
+    """As in SQL over the file: of rows of one time, arg_min and arg_max take the first."""
+    path = str(tmp_path / "ties.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"COPY (SELECT (i * 7919) % 4001 AS id, i // 2000 * 50 AS _time, 'e' || i AS e, CAST((i * 31) % 97 AS DOUBLE) AS v, 1 AS k FROM range(4000) t(i)) TO '{path}'")
+    s = Session(spark)
+    s.register("ties", spark.read.parquet(path).repartition(1))
+    s.register("scanned", spark.read.parquet(path))
+    wanted = con.execute(f"SELECT arg_min(e, _time), arg_min(v, _time), arg_max(v, _time), arg_max(v, _time) - arg_min(v, _time) FROM '{path}'").fetchone()
+    assert tuple(s.query("SELECT e, FIRST(v) AS f, LAST(v) AS l, DELTA(v) AS d FROM scanned BY 1h").select("e", "f", "l", "d").first()) == wanted
+    assert tuple(s.query("SELECT FIRST(e) AS e, FIRST(v) AS f, LAST(v) AS l, DELTA(v) AS d FROM scanned AS x GROUP BY k").select("e", "f", "l", "d").first()) == wanted
+    assert {tuple(r) for r in s.query("SELECT FIRST(e) AS e, LAST(v) AS l FROM scanned WHERE _time < 50 ROLLING BY 1h").collect()} == {("e0", 0.0)}
+    assert s.query("SELECT *, FIRST(v) AS f FROM scanned ROLLING BY 1h").columns == ["id", "_time", "e", "v", "k", "f"]
+    assert tuple(s.query("WITH j AS (SELECT a.v AS v, a._time AS _time FROM scanned AS a JOIN ties AS b ON a.id = b.id) SELECT FIRST(_time) AS n FROM j BY 1h").select("n").first()) == (0,)
