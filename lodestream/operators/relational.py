@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import STRETCH_ROWS, saved
+
+#: Groups up to which their offsets are broadcast.
+BROADCAST_GROUPS = 50_000
 
 
 def union_by_name(*frames: DataFrame, distinct: bool = False) -> DataFrame:
@@ -22,19 +25,40 @@ def union_by_name(*frames: DataFrame, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def numbered_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` and each row's number by SQL sort keys ("x DESC NULLS LAST"), with no task that sees all rows.
+def numbered_globally(df: DataFrame, order: list[str], name: str, partition: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (of it the columns ``keep``) and each row's number by SQL sort keys ("x DESC NULLS LAST"), with no task that sees all rows.
 
     Rows are dealt out by ranges of the keys and sorted there; the sizes of the parts, a row for each, give the offsets.
+    Numbers within ``partition`` (SQL) start anew in each group. Groups of up to STRETCH_ROWS rows are plain windows; where
+    one is larger, ranges cut through groups, and what a group has in a part, a row for each, gives the offsets.
     """
     keys = []
     for k in order:
         expression, direction, *_ = k.rsplit(" ", 3)
         keys.append(F.expr(expression).desc_nulls_last() if direction == "DESC" else F.expr(expression).asc_nulls_last())
+    kept = df.columns if keep is None else keep
+    groups = [f"__g{i}" for i in range(len(partition or []))]
+    if groups:
+        df = df.withColumns({g: F.expr(e) for g, e in zip(groups, partition, strict=True)})
+        facts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.count(F.lit(1)).alias("groups")).first()
+        if (facts["largest"] or 0) <= STRETCH_ROWS:
+            return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*(keys or [F.lit(1)]))).cast("long")).select(*[f"`{c}`" for c in kept], name)
+        if not keys:
+            df, keys = df.withColumn("__any", F.monotonically_increasing_id()), [F.col("__any").asc()]
+    keys = [*[F.col(g).asc() for g in groups], *keys]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
     # Written down, as the ranges of another run could be others.
-    ranged = saved(ranged.withColumn("__i", F.monotonically_increasing_id()))
+    ranged = saved(ranged.select(*[f"`{c}`" for c in kept], *groups, F.monotonically_increasing_id().alias("__i")))
     part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    if groups:
+        held = ranged.groupBy(part.alias("__p"), *[F.col(g).alias(f"{g}_") for g in groups]).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__start"))
+        earlier = Window.partitionBy(*[f"{g}_" for g in groups]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        held = F.broadcast(held) if facts["groups"] <= BROADCAST_GROUPS else held
+        same = part == F.col("__p")
+        for g in groups:
+            same &= F.col(g).eqNullSafe(F.col(f"{g}_"))
+        return ranged.join(held, same).withColumn(name, F.col("__before") + place - F.col("__start") + 1).select(*[f"`{c}`" for c in kept], name)
     sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for p, n in sizes:

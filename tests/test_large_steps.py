@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import timeseries
+from lodestream.operators import relational, timeseries
 from lodestream.session import Session
 
 CALLS = {"a": "AVG", "n": "COUNT", "s": "SUM", "lo": "MIN", "hi": "MAX", "sd": "STDEV", "h": "HEIGHT"}
@@ -72,3 +72,22 @@ def test_rows_of_one_time_come_by_their_place(spark, tmp_path):
     assert {tuple(r) for r in s.query("SELECT FIRST(e) AS e, LAST(v) AS l FROM scanned WHERE _time < 50 ROLLING BY 1h").collect()} == {("e0", 0.0)}
     assert s.query("SELECT *, FIRST(v) AS f FROM scanned ROLLING BY 1h").columns == ["id", "_time", "e", "v", "k", "f"]
     assert tuple(s.query("WITH j AS (SELECT a.v AS v, a._time AS _time FROM scanned AS a JOIN ties AS b ON a.id = b.id) SELECT FIRST(_time) AS n FROM j BY 1h").select("n").first()) == (0,)
+
+
+@pytest.mark.parametrize("groups", [0, 100])
+@pytest.mark.parametrize("order", [" ORDER BY v * 2 DESC, id", ""])
+def test_numbers_of_a_large_group_come_by_ranges(spark, monkeypatch, groups, order):
+    rows = [(k, None if k % 13 == 0 else "a" if k % 5 else f"g{k % 70}", None if k % 7 == 0 else float(k * 37 % 101)) for k in range(2000)]
+    s = Session(spark)
+    s.register("t", spark.createDataFrame(rows, "id long, g string, v double").repartition(3))
+    monkeypatch.setattr(relational, "STRETCH_ROWS", 50)
+    monkeypatch.setattr(relational, "BROADCAST_GROUPS", groups)
+    df = s.query(f"SELECT id, g, ROW_NUMBER() OVER (PARTITION BY g{order}) AS rn FROM t")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in text  # no window over the group
+    got = sorted((r["g"] or "", r["rn"], r["id"]) for r in df.collect())
+    by = {}
+    for k, g, v in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
+        by.setdefault(g or "", []).append(k)
+    wanted = sorted((g, n, k) for g, ids in by.items() for n, k in enumerate(ids, 1))
+    assert got == wanted if order else [x[:2] for x in got] == [x[:2] for x in wanted]
