@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import relational, timeseries
+from lodestream.operators import quantiles, relational, timeseries
 from lodestream.session import Session
 
 CALLS = {"a": "AVG", "n": "COUNT", "s": "SUM", "lo": "MIN", "hi": "MAX", "sd": "STDEV", "h": "HEIGHT"}
@@ -91,3 +91,15 @@ def test_numbers_of_a_large_group_come_by_ranges(spark, monkeypatch, groups, ord
         by.setdefault(g or "", []).append(k)
     wanted = sorted((g, n, k) for g, ids in by.items() for n, k in enumerate(ids, 1))
     assert got == wanted if order else [x[:2] for x in got] == [x[:2] for x in wanted]
+
+
+def test_quantiles_of_even_ranges(spark):
+    """Odd groups: outliers, equal values, infinities, NaN, a null key; counts come by range before any value is dealt out."""
+    groups = {"wide": [float(k * k) for k in range(300)] + [1e300, -1e300], "same": [2.5] * 40, "ends": [float("inf"), 1.0, 2.0, float("-inf")], "nan": [float("nan"), 3.0, 1.0], "one": [7.0], None: [float(k % 7) for k in range(50)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    order = lambda v: (v != v, v)
+    for percent in (0, 10, 50, 75, 100):
+        made = quantiles.grouped_quantile(df, ["g"], "v", percent, "q")
+        wanted = {g: sorted(vs, key=order)[int(percent / 100 * (len(vs) - 1) + 0.5)] for g, vs in groups.items()}
+        assert {r["g"]: str(r["q"]) for r in made.collect()} == {g: str(v) for g, v in wanted.items()}
+    assert "__b" in made._jdf.queryExecution().optimizedPlan().toString().split("percentile_approx")[1]
